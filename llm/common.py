@@ -1,0 +1,239 @@
+"""Shared pieces: scratch tables, word and n-gram hashing over Arrow buffers, connected components.
+
+Hashes here are plain functions of the bytes (no process salt), so every executor and every retry
+of a lost task gets the same values.
+"""
+
+from __future__ import annotations
+
+import functools
+import tempfile
+import uuid
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Words are runs of anything but space and the ASCII controls 9 to 13.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: Text bytes hashed in one go; bounds a worker's memory (about 40 bytes for each).
+CHUNK_BYTES = 2 << 20
+#: Ids that may be broadcast: at most this many 8-byte keys; beyond it joins shuffle.
+BROADCAST_KEYS = 200_000
+
+
+# ---------------------------------------------------------------- scratch tables
+
+
+class Scratch:
+    """A folder of intermediate tables in the shared folder that the cluster names."""
+
+    _own: str | None = None
+
+    def __init__(self, spark: SparkSession, kind: str):
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            Scratch._own = Scratch._own or tempfile.mkdtemp(prefix="scratch-")
+            base = f"file://{Scratch._own}"
+        self.spark, self.path = spark, f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
+
+    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Write ``df`` and return the table just written; this cuts the lineage."""
+        writer = df.write.mode("overwrite").option("compression", "zstd")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
+        return self.get(name, df.schema)
+
+    def get(self, name: str, schema=None) -> DataFrame:
+        reader = self.spark.read
+        return (reader.schema(schema) if schema else reader).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that are no longer read (all of them without names)."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names or ("",):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's cleaner remove shuffle files of finished jobs now rather than some time."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows of an Arrow batch: texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
+def power_of_two(x: float, least: int, most: int) -> int:
+    n = least
+    while n < x and n < most:
+        n *= 2
+    return n
+
+
+def partitions(spark: SparkSession, total_bytes: int, each: int = 8 << 20) -> int:
+    """Shuffle partitions for so many bytes: the session's number or more, never fewer."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes or 0) // each))
+
+
+# ---------------------------------------------------------------- hashing
+
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_S = [np.uint64(x) for x in (30, 27, 31)]
+#: Odd bases of the polynomial hashes, for bytes and for words, of two independent families.
+_BASES = ((0xD1342543DE82EF95, 0xA0761D6478BD642F), (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The splitmix64 finalizer: 64 well-mixed bits."""
+    x = x + _K[0]
+    x = (x ^ (x >> _S[0])) * _K[1]
+    x = (x ^ (x >> _S[1])) * _K[2]
+    return x ^ (x >> _S[2])
+
+
+@functools.lru_cache(8)
+def _tables(family: int) -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * (family + 1)))
+
+
+@functools.lru_cache(16)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
+    base = pow(base, -1, 1 << 64) if inverse else base
+    return _powers(base, power_of_two(n + 1, 1 << 16, 1 << 40))[:n]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, offsets from 0) of a string array; nulls count as empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    if texts.null_count:
+        texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offs = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, offs - offs[0]
+
+
+def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
+    """Slices of a batch with at most ``limit`` bytes of text, or one row."""
+    _, offs = bytes_of(batch.column(column))
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + limit, side="right")) - 1)
+        yield batch.slice(i, min(j, n) - i)
+        i = j
+
+
+class Words:
+    """The words of a slice of texts: start, end, row and hash(es) of each."""
+
+    def __init__(self, texts: pa.Array, lower: bool = False, families: int = 1):
+        data, self.offs = bytes_of(texts)
+        data = LOWER[data] if lower else data
+        n, word = len(data), ~SPACE[data]
+        first = np.zeros(n + 1, bool)
+        first[self.offs] = True
+        start, end = word.copy(), word.copy()
+        start[1:] &= ~word[:-1] | first[1:n]
+        end[:-1] &= ~word[1:] | first[1:n]
+        self.start, self.end = np.flatnonzero(start), np.flatnonzero(end) + 1
+        self.row = np.searchsorted(self.offs, self.start, side="right") - 1
+        self.hash, self.rows, self.data = [], len(texts), data
+        for f in range(families):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_tables(f)[data] * powers(_BASES[f][0], n), out=total[1:])
+            h = (total[self.end] - total[self.start]) * powers(_BASES[f][0], n + 1, True)[self.start]
+            self.hash.append(mix(h + (self.end - self.start).astype(np.uint64)))
+
+    def ngrams(self, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of each run of ``n`` words inside one text."""
+        m = len(self.start)
+        if m < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        total = np.zeros(m + 1, np.uint64)
+        np.cumsum(self.hash[family] * powers(_BASES[family][1], m), out=total[1:])
+        at = np.flatnonzero(self.row[: m - n + 1] == self.row[n - 1 :])
+        return at, mix((total[at + n] - total[at]) * powers(_BASES[family][1], m, True)[at])
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.row, minlength=self.rows)
+
+    def bounds(self, at: np.ndarray | None = None) -> np.ndarray:
+        """Where each text's entries begin among ``at`` (default: among all words), and the end."""
+        rows = self.row if at is None else self.row[at]
+        return np.searchsorted(rows, np.arange(self.rows + 1))
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Integers as zstd-compressed byte planes; sorted or narrow values get small."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    size, kind = int.from_bytes(b[:8], "little"), np.dtype(kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(b[8:], size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def unpack_all(column, kind) -> np.ndarray:
+    got = [unpack(x, kind) for x in column.to_pylist()]
+    return np.concatenate(got) if got else np.zeros(0, kind)
+
+
+def runs_of(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal (sorted) keys begin."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+# ---------------------------------------------------------------- graphs
+
+
+def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFrame:
+    """(node, component) for nodes of ``links(a, b)``; component is the smallest node reachable.
+
+    Alternates large-star and small-star steps, each one aggregation and one join by node; the
+    edges are written after each round, so a lost executor costs one round.  A node's row of
+    neighbours is never gathered: only its minimum is.
+    """
+    spark = scratch.spark
+    edges = links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
+    edges, k, before = scratch.put(edges, f"{name}-0"), 0, None
+    while True:
+        both = edges.unionAll(edges.selectExpr("v AS u", "u AS v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(least, "u").selectExpr("v AS u", "m AS v").where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        k += 1
+        new = scratch.put(small, f"{name}-{k}")
+        state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop(f"{name}-{k - 1}")
+        edges = new
+        if state == before:
+            break
+        before = state
+    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
