@@ -22,8 +22,8 @@ from llm.common import Scratch, Words, chunks, mix, pack, power_of_two, runs_of,
 
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
-ROWS = "kind int, bucket int, a binary, b binary, c binary"
-ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+ROWS = "kind int, bucket int, shard int, a binary, b binary, c binary"
+ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 #: A document's shard, as numpy and SQL both compute it without overflow.
 PRIME, FACTOR = (1 << 31) - 1, 1_073_741_789
@@ -32,16 +32,16 @@ FLUSH = 1_500_000
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, ARROW)], schema=ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 6, ARROW)], schema=ARROW)
 
 
-def _marks(docs: np.ndarray, hashes: np.ndarray, shards: int) -> list[tuple]:
+def _marks(docs: np.ndarray, hashes: np.ndarray, shards: int, buckets: int) -> list[tuple]:
     """Rows that tell documents which of their windows go."""
     shard = docs % PRIME * FACTOR % PRIME % shards
     order = np.argsort(shard, kind="stable")
     shard, docs, hashes = shard[order], docs[order], hashes[order]
     at = runs_of(shard)
-    return [(1, int(shard[i]), pack(docs[i:j]), pack(hashes[i:j]), b"") for i, j in zip(at, [*at[1:], len(shard)])]
+    return [(1, int(shard[i]) % buckets, int(shard[i]), pack(docs[i:j]), pack(hashes[i:j]), b"") for i, j in zip(at, [*at[1:], len(shard)])]
 
 
 def _sorted(h: np.ndarray, c: np.ndarray, d: np.ndarray):
@@ -62,11 +62,10 @@ def _hash_batch(n: int, buckets: int, shards: int):
         h, c, d, at, least = _sorted(*(np.concatenate(x) for x in zip(*got)))
         rows = []
         own = np.repeat(least, np.diff([*at, len(h)])) < d
-        for _, shard, a, b, _ in _marks(d[own], h[own], shards):  # passed on through some bucket
-            rows.append((1, shard % buckets, a, b, shard.to_bytes(4, "little")))
+        rows += _marks(d[own], h[own], shards, buckets)  # passed on through some bucket
         h, c, bucket = h[at], c[at], h[at] >> bits
         cut = runs_of(bucket)
-        rows += [(0, int(bucket[i]), pack(h[i:j]), pack(c[i:j]), pack(least[i:j])) for i, j in zip(cut, [*cut[1:], len(bucket)])]
+        rows += [(0, int(bucket[i]), None, pack(h[i:j]), pack(c[i:j]), pack(least[i:j])) for i, j in zip(cut, [*cut[1:], len(bucket)])]
         for i in range(0, len(rows), 256):
             yield _table(rows[i : i + 256])
 
@@ -93,7 +92,7 @@ def _merge(shards: int):
         rows, bucket = [], key[0].as_py()
         kinds = np.asarray(new.column("kind"))
         local = new.filter(pa.array(kinds == 1))
-        rows += [(1, int.from_bytes(c, "little"), a, b, b"") for a, b, c in zip(*(local.column(x).to_pylist() for x in "abc"))]
+        rows += [(1, bucket, s, a, b, b"") for s, a, b in zip(*(local.column(x).to_pylist() for x in ("shard", "a", "b")))]
         new = new.filter(pa.array(kinds == 0))
         if new.num_rows:
             h, c, d, at, least = _sorted(*(unpack_all(new.column(x), k) for x, k in (("a", np.uint64), ("b", np.uint32), ("c", np.int64))))
@@ -109,10 +108,10 @@ def _merge(shards: int):
                     i[open_] += 1
                     open_ = open_[i[open_] < len(was)]
             gone = np.repeat(known, np.diff([*at, len(h)])) | (np.repeat(least, np.diff([*at, len(h)])) < d)
-            rows += _marks(d[gone], h[gone], shards)
+            rows += [(k, bucket, *rest) for k, _, *rest in _marks(d[gone], h[gone], shards, 1)]
             fresh = at[~known]
             if len(fresh):
-                rows.append((0, bucket, pack(h[fresh]), pack(c[fresh]), b""))
+                rows.append((0, bucket, None, pack(h[fresh]), pack(c[fresh]), b""))
         return pa.Table.from_batches([_table(rows)])
 
     return run
@@ -123,7 +122,7 @@ def _compact(key, runs):
     order = np.lexsort((c, h))
     h, c = h[order], c[order]
     at = runs_of(h, c)
-    return pa.Table.from_batches([_table([(0, key[0].as_py(), pack(h[at]), pack(c[at]), b"")])])
+    return pa.Table.from_batches([_table([(0, key[0].as_py(), None, pack(h[at]), pack(c[at]), b"")])])
 
 
 class FingerprintIndex:
@@ -138,42 +137,56 @@ class FingerprintIndex:
         self.buckets = power_of_two(total_bytes / (8 << 20), 64, 1 << 20)
         self.shards = power_of_two(total_bytes / (4 << 20), 64, 1 << 22)
         self.scratch, self.runs, self.batches = Scratch(spark, "fingerprints"), [], 0
+        self.table = self.scratch.path.rpartition("/")[2].replace("-", "_")
         small_batches(spark)
 
-    def _read(self, names: list[int], kind: int) -> DataFrame:
-        schema = "bucket int, a binary, b binary, c binary, batch int, kind int"
-        if not names:
-            return self.spark.createDataFrame([], schema)
-        return self.scratch.get("log", schema).where(F.col("batch").isin(names) & (F.col("kind") == kind))
-
-    def add(self, batch: DataFrame) -> int:
-        """Merge ``batch(doc, text)`` with the runs; the number under which its marks are kept."""
-        new = batch.mapInArrow(_hash_batch(self.words, self.buckets, self.shards), ROWS)
-        old = self._read(self.runs, 0)
-        merged = new.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInArrow(_merge(self.shards), ROWS)
-        return self._log(merged)
-
     def _log(self, rows: DataFrame) -> int:
+        """Append rows to the index: a table in as many buckets as the runs are cut into.
+
+        A run's bucket is read where it lies: only new fingerprints are shuffled to meet it.
+        """
         name, self.batches = self.batches, self.batches + 1
-        self.scratch.put(rows, f"log/batch={name}", "kind")
+        writer = rows.withColumn("batch", F.lit(name)).write.mode("append").option("compression", "zstd").option("path", f"{self.scratch.path}/log")
+        writer.partitionBy("batch", "kind").bucketBy(self.buckets, "bucket").saveAsTable(self.table)
         self.runs.append(name)
         tidy(self.spark)
         return name
 
+    def _runs(self) -> DataFrame:
+        if not self.runs:
+            return self.spark.createDataFrame([], ROWS)
+        return self.spark.table(self.table).where(F.col("batch").isin(self.runs) & (F.col("kind") == 0))
+
+    def add(self, batch: DataFrame) -> int:
+        """Merge ``batch(doc, text)`` with the runs; the number under which its marks are kept."""
+        new = batch.mapInArrow(_hash_batch(self.words, self.buckets, self.shards), ROWS)
+        return self._log(new.groupBy("bucket").cogroup(self._runs().groupBy("bucket")).applyInArrow(_merge(self.shards), ROWS))
+
     def compact(self) -> None:
         """Merge all runs into one; fingerprints in several runs are kept once."""
-        was, self.runs = self.runs, []
-        self._log(self._read(was, 0).groupBy("bucket").applyInArrow(_compact, ROWS))
+        was, merged = self.runs, self._runs().groupBy("bucket").applyInArrow(_compact, ROWS)
+        self.runs = []
+        self._log(merged)
         self.forget(was)
 
     def forget(self, runs: list[int]) -> None:
         """Delete runs; the marks of their batches stay."""
         self.scratch.drop(*(f"log/batch={x}/kind=0" for x in runs))
+        self.spark.catalog.refreshTable(self.table)
+
+    def close(self) -> None:
+        """Delete all runs and take the table out of the catalog."""
+        self.forget(self.runs)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def marks(self, names: list[int]) -> DataFrame:
+        rows = self.scratch.get("log", "bucket int, shard int, a binary, b binary, c binary, batch int, kind int")
+        return rows.where(F.col("batch").isin(names) & (F.col("kind") == 1)).select("shard", "a", "b")
 
     def clean(self, docs: DataFrame, names: list[int]) -> DataFrame:
         """(doc, n_words, n_removed, kept) of ``docs(doc, text)``, by the marks in ``names``."""
         shards, n = self.shards, self.words
-        marks = self._read(names, 1).select(F.col("bucket").alias("shard"), "a", "b")
+        marks = self.marks(names)
         schema = "doc long, n_words long, n_removed long, kept string"
         docs = docs.select("doc", "text", F.expr(f"pmod(pmod(doc, {PRIME}) * {FACTOR}, {PRIME}) % {shards}").cast("int").alias("shard"))
         return docs.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(_clean(n), schema)
@@ -231,6 +244,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if len(index.runs) > index.max_runs:
             index.compact()
         names.append(index.add(batch))
-    index.forget(index.runs)
+    index.close()
     out = index.clean(docs, names)
     return out.select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept")
