@@ -1,0 +1,88 @@
+"""Conversations as marked-up strings, built and read back with Spark expressions only.
+
+A string is a row of blocks, one for each run of adjacent turns with one role::
+
+    <s>[INST]role[/INST]text[PART]text</s>
+
+Control strings inside roles and texts get a backslash after their first character (one more, where
+some stand there already), so that no text can end a turn and reading back restores every byte.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+OPEN, HEAD, PART, CLOSE = "<s>[INST]", "[/INST]", "[PART]", "</s>"
+#: First character, backslashes, rest of a control string.
+CONTROL = r"([<\[])(\\*)(/?s>|/?INST\]|PART\])"
+ESCAPED = r"([<\[])\\(\\*)(/?s>|/?INST\]|PART\])"
+
+
+def escape(text: Column) -> Column:
+    return F.regexp_replace(text, CONTROL, r"$1\\$2$3")
+
+
+def unescape(text: Column) -> Column:
+    return F.regexp_replace(text, ESCAPED, "$1$2$3")
+
+
+def _merge(turns: Column) -> Column:
+    """Blocks (role, parts) of adjacent turns with one role."""
+    empty = F.expr("CAST(array() AS array<struct<role: string, parts: array<string>>>)")
+
+    def step(done: Column, turn: Column) -> Column:
+        last = F.element_at(done, -1)
+        fresh = F.concat(done, F.array(F.struct(turn.role.alias("role"), F.array(turn.text).alias("parts"))))
+        longer = F.struct(last.role.alias("role"), F.concat(last.parts, F.array(turn.text)).alias("parts"))
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        return F.when(F.size(done) == 0, fresh).when(last.role == turn.role, grown).otherwise(fresh)
+
+    return F.aggregate(turns, empty, step)
+
+
+def _spans(blocks: Column, learn: str) -> Column:
+    """(start, end) of every part that is learned, in code points from 0."""
+    start = F.expr("named_struct('at', 0L, 'spans', CAST(array() AS array<struct<start: bigint, end: bigint>>))")
+
+    def part(got: Column, text: Column) -> Column:
+        end = got.at + F.length(text)
+        span = F.struct(got.at.alias("start"), end.alias("end"))
+        return F.struct((end + len(PART)).alias("at"), F.concat(got.spans, F.array(span)).alias("spans"))
+
+    def step(got: Column, block: Column) -> Column:
+        first = got.at + len(OPEN) + F.length(block.role) + len(HEAD)
+        none = F.struct((first + F.length(F.array_join(block.parts, PART)) + len(CLOSE)).alias("at"), got.spans.alias("spans"))
+        inside = F.aggregate(block.parts, F.struct(first.alias("at"), got.spans.alias("spans")), part)
+        learned = F.struct((inside.at - len(PART) + len(CLOSE)).alias("at"), inside.spans.alias("spans"))
+        return F.when(block.role == learn, learned).otherwise(none)
+
+    return F.aggregate(blocks, start, step, lambda got: got.spans)
+
+
+def format_chats(turns: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
+    """(id_col, formatted, loss_spans): one row for each conversation.
+
+    Turns are sorted by ``order_col``, then role, then text, so ties have one order; a null place
+    comes first.  Null roles and texts count as empty.  Rows without an id are one conversation
+    without an id.  Repeated rows are turns of their own.  ``loss_spans`` are the code points of
+    ``formatted`` that hold texts of the role ``learn``.  Other columns are ignored; an empty
+    table gives no rows.  A conversation is one string and so one row in one task; its turns are
+    combined on the map side first.
+    """
+    turn = F.struct(F.col(order_col).alias("place"), escape(F.coalesce(role_col, F.lit(""))).alias("role"), escape(F.coalesce(text_col, F.lit(""))).alias("text"))
+    blocks = turns.groupBy(id_col).agg(F.sort_array(F.collect_list(turn)).alias("turns")).select(id_col, _merge(F.col("turns")).alias("blocks"))
+    body = F.transform("blocks", lambda b: F.concat(F.lit(OPEN), b.role, F.lit(HEAD), F.array_join(b.parts, PART), F.lit(CLOSE)))
+    return blocks.select(id_col, F.array_join(body, "").alias("formatted"), _spans(F.col("blocks"), learn).alias("loss_spans"))
+
+
+def read_chats(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
+    """(id_col, turns, loss_text, formatted): roles, texts and learned text read from the strings."""
+    blocks = F.expr(f"filter(split(formatted, '{CLOSE}', -1), b -> b != '')")
+
+    def turns(block: Column) -> Column:
+        sides = F.split(F.substring(block, len(OPEN) + 1, 2**31 - 1), r"\[/INST\]", 2)
+        return F.transform(F.split(sides[1], r"\[PART\]", -1), lambda t: F.struct(unescape(sides[0]).alias("role"), unescape(t).alias("text")))
+
+    learned = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s.start + 1).cast("int"), (s.end - s.start).cast("int"))))
+    return formatted.select(id_col, F.flatten(F.transform(blocks, turns)).alias("turns"), F.array_join(learned, "").alias("loss_text"), "formatted")

@@ -1,0 +1,96 @@
+"""Licence notices: lines and whole texts against templates, by Dice over word bigrams.
+
+Dice of two bigram sets A and B is 2|A & B| / (|A| + |B|).  From a threshold t follow size bounds,
+t/(2-t) |B| <= |A| <= (2-t)/t |B|, and that at least t/(2-t) of a template's bigrams must occur; so
+some word of any set that touches enough of them must occur, which one regular expression tests
+before anything is split.  Spark expressions only.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Notices of public licences.
+TEMPLATES = {
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "MIT": "Released under the MIT License.",
+    "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+}
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[a-z0-9]+", text.lower())
+
+
+def bigrams_of(text: str) -> list[str]:
+    w = words_of(text)
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+
+
+def least(n: int, dice: float) -> int:
+    """The fewest of a template's ``n`` bigrams that a match holds; its own size is no less."""
+    return max(1, math.ceil(n * dice / (2 - dice) - 1e-9))
+
+
+def most(n: int, dice: float) -> int:
+    return math.floor(n * (2 - dice) / dice + 1e-9)
+
+
+def anchors(text: str, dice: float) -> set[str]:
+    """Words one of which occurs in every match: they touch so many bigrams that too few are left."""
+    grams, chosen = bigrams_of(text), set()
+    for word in sorted(set(words_of(text)), key=lambda w: (-len(w), w)):
+        if sum(not chosen & set(g.split()) for g in grams) < least(len(grams), dice):
+            break
+        chosen.add(word)
+    return chosen
+
+
+def _bigrams(words: Column) -> Column:
+    follow = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.slice(follow, 1, F.greatest(F.size(words) - 1, F.lit(0))))
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, dice: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, license, line, dice): every line (0, 1, ...) or whole text (-1) that matches a template.
+
+    Texts are normalised to their lower-case runs of a-z and 0-9.  The whole text is compared only
+    if it has more than one line.  ``templates`` is a dictionary in the plan, so it is small.
+
+    Null or empty texts and texts of one word match nothing.  Repeated rows give repeated results;
+    ties between templates are all returned; other columns are ignored; null ids are kept.
+    """
+    templates = {k: v for k, v in (templates or TEMPLATES).items() if bigrams_of(v)}
+    found = sorted(set().union(*(anchors(v, dice) for v in templates.values())))
+    some = f"(?:{'|'.join(found)})"
+    fewest = min(least(len(bigrams_of(v)), dice) for v in templates.values())
+    text = F.col(text_col)
+    lines = F.split(text, "\n", -1)
+    units = F.transform(lines, lambda x, i: F.struct(i.alias("line"), F.lower(x).alias("t")))
+    units = F.when(F.size(lines) > 1, F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.lower(text).alias("t"))), units)).otherwise(units)
+    rows = docs.select(F.col(id_col), text_col).where(F.lower(text).rlike(some)).select(id_col, F.explode(F.filter(units, lambda u: u.t.rlike(some))).alias("u"))
+    rows = rows.select(id_col, "u.line", F.filter(F.split("u.t", "[^a-z0-9]+"), lambda w: w != "").alias("w")).where(F.size("w") > fewest)
+    rows = rows.select(id_col, "line", _bigrams(F.col("w")).alias("b")).withColumn("n", F.size("b"))
+
+    def score(name: str, text: str) -> Column:
+        grams = bigrams_of(text)
+        n = len(grams)
+        near = 2.0 * F.size(F.array_intersect("b", F.array(*map(F.lit, grams)))) / (F.col("n") + n)
+        fits = F.col("n").between(least(n, dice), most(n, dice))
+        return F.struct(F.lit(name).alias("license"), F.when(fits, near).alias("dice"))
+
+    scores = F.filter(F.array(*(score(*x) for x in sorted(templates.items()))), lambda s: s.dice >= dice)
+    return rows.select(id_col, "line", F.explode(scores).alias("s")).select(id_col, "s.license", "line", "s.dice")
