@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but space and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For other tokens: all bytes but ASCII letters, digits and UTF-8's; all bytes but punctuation.
+NO_LETTER = ~np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+NO_MARK = ~NO_LETTER | SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Text bytes hashed in one go; bounds a worker's memory (about 40 bytes for each).
@@ -145,10 +148,10 @@ def chunks(batch, column: str = "text", limit: int = CHUNK_BYTES):
 class Words:
     """The words of a slice of texts: start, end, row and hash(es) of each."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False, families: int = 1):
+    def __init__(self, texts: pa.Array, lower: bool = False, families: int = 1, space: np.ndarray = SPACE):
         data, self.offs = bytes_of(texts)
         data = LOWER[data] if lower else data
-        n, word = len(data), ~SPACE[data]
+        n, word = len(data), ~space[data]
         first = np.zeros(n + 1, bool)
         first[self.offs] = True
         start, end = word.copy(), word.copy()

@@ -1,0 +1,293 @@
+"""Jaccard join on word n-grams: who is linked with whom, directly or through others.
+
+Two sets with Jaccard similarity t or more share a token among the first |x| - ceil(t |x|) + 1 of
+each, in any order common to all.  Rarer tokens come first, by a count sketch of fixed size over all
+documents, so what very many documents share is not used to find partners.
+
+1. Equal sets become one class, the smallest id stands for it.
+2. Prefix tokens are dealt to buckets.  Of each token's documents the smallest set is a leader and
+   is paired with those of fitting size; pairs that pass the bitmap bound are intersected exactly.
+   This joins groups of copies without looking at all their pairs.
+3. Documents that share a prefix token and are not joined yet meet in tiles of one size band and the
+   next; large tiles are cut into smaller ones.  Bit counts of hashed bitmaps bound the overlap from
+   above; what passes is intersected exactly.
+
+No pair that could be linked is left out: each is joined in step 2 or tested in step 3.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, powers, runs_of, small_batches, tidy, unpack, unpack_all
+
+#: Counters of the sketch; part size when it is summed; documents of a tile that is not cut.
+SKETCH, SKETCH_PART, TILE = 1 << 18, 4096, 1024
+FLUSH = 1_000_000
+
+
+def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's n-grams; of a shorter text the whole sequence."""
+    w = Words(texts, lower=True)
+    at, h = w.ngrams(n)
+    cut, words = w.bounds(at), w.bounds()
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash[0] * powers(3, len(w.hash[0])))])
+    for k in range(w.rows):
+        i, j = words[k], words[k + 1]
+        if 0 < j - i < n:
+            yield mix((total[j : j + 1] - total[i : i + 1]) * powers(3, i + 1, True)[i] ^ np.uint64((j - i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        else:
+            yield np.unique(h[cut[k] : cut[k + 1]])
+
+
+def digest(tokens: np.ndarray) -> tuple[int, int]:
+    d = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by hashed bit, as many bits as the set has tokens or up to twice that."""
+    bits = power_of_two(len(tokens), 64, 1 << 14)
+    return np.packbits(np.bincount((tokens >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(maps: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) of half as many bits, as often as needed."""
+    while maps.shape[1] > size:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def may_link(n_a, n_b, maps_a, maps_b, num: int, den: int) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps can be linked: overlap <= (n_a + n_b - differing bits) / 2."""
+    size = min(maps_a.shape[-1], maps_b.shape[-1])
+    a, b = (np.ascontiguousarray(fold(m, size)).view(np.uint64) for m in (maps_a, maps_b))
+    differ = np.bitwise_count(a ^ b).sum(-1).astype(np.int64)
+    return 2 * num * (n_a + n_b) <= (num + den) * (n_a + n_b - differ)
+
+
+def prefix_size(n: int, num: int, den: int) -> int:
+    return n - -(-num * n // den) + 1
+
+
+def _as_maps(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
+
+
+class Join:
+    """One run over ``docs(id, text)``; links are sets with num/den of their union in common."""
+
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
+        self.docs, self.n, self.num, self.den, self.spark = docs, n, num, den, docs.sparkSession
+        small_batches(self.spark)
+        self.scratch = Scratch(self.spark, "jaccard")
+
+    def describe(self) -> np.ndarray:
+        """Write each document's size, digest and bitmap; return the sketch of token counts."""
+        n = self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, total = ["kind", "id", "n", "d1", "d2", "map"], np.zeros(SKETCH, np.int64)
+            for batch in batches:
+                for part in chunks(batch):
+                    sets = list(token_sets(part.column("text"), n))
+                    total += np.bincount(np.concatenate(sets) & np.uint64(SKETCH - 1), minlength=SKETCH)
+                    d1, d2 = zip(*map(digest, sets))
+                    yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary())], names)
+            if total.any():
+                parts = [pack(x.astype(np.uint32)) for x in total.reshape(-1, SKETCH_PART)]
+                some, none = pa.array(range(len(parts)), pa.int64()), pa.nulls(len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(parts), pa.int32()), some, none, none, none, pa.array(parts, pa.binary())], names)
+
+        both = self.scratch.put(self.docs.mapInArrow(run, "kind int, id long, n long, d1 long, d2 long, map binary"), "described", "kind")
+        self.described = both.where("kind = 0").drop("kind")
+
+        def add(key, parts):
+            total = sum(unpack(x, np.uint32).astype(np.int64) for x in parts.column("map").to_pylist())
+            return pa.table({"id": [key[0].as_py()], "map": pa.array([pack(total)], pa.binary())})
+
+        sketch = np.zeros((SKETCH // SKETCH_PART, SKETCH_PART), np.int64)
+        for k, blob in both.where("kind = 1").select("id", "map").groupBy("id").applyInArrow(add, "id long, map binary").collect():
+            sketch[k] = unpack(bytes(blob), np.int64)
+        return (4 * np.log2(sketch.ravel() + 1)).astype(np.uint8)
+
+    def meet(self, level: np.ndarray, total_bytes: int) -> None:
+        """Write leader pairs and the groups of documents that share a prefix token."""
+        n, num, den = self.n, self.num, self.den
+        buckets = power_of_two(total_bytes / (16 << 20), 64, 1 << 20)
+        shift = np.uint64(65 - buckets.bit_length())
+
+        def flush(got: list) -> Iterator[pa.RecordBatch]:
+            tok, d, size = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((d, tok))
+            tok, d, size = tok[order], d[order], size[order]
+            one = runs_of(tok, d)
+            tok, d, size = tok[one], d[one], size[one]
+            cut = runs_of(tok >> shift)
+            rows = [(int(tok[i] >> shift), pack(tok[i:j]), pack(d[i:j]), pack(size[i:j])) for i, j in zip(cut, [*cut[1:], len(tok)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "tok", "d", "n"])
+
+        def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            got, count = [], 0
+            for batch in batches:
+                for part in chunks(batch):
+                    for tokens in token_sets(part.column("text"), n):
+                        if len(tokens):
+                            order = np.argsort(level[tokens & np.uint64(SKETCH - 1)], kind="stable")[: prefix_size(len(tokens), num, den)]
+                            got.append((tokens[order], np.full(len(order), digest(tokens)[0]), np.full(len(order), len(tokens), np.uint32)))
+                            count += len(order)
+                    if count > FLUSH:
+                        yield from flush(got)
+                        got, count = [], 0
+            if count:
+                yield from flush(got)
+
+        def gather(key, rows):
+            tok, d, size = unpack_all(rows.column("tok"), np.uint64), unpack_all(rows.column("d"), np.int64), unpack_all(rows.column("n"), np.uint32)
+            order = np.lexsort((d, size, tok))
+            tok, d, size = tok[order], d[order], size[order].astype(np.int64)
+            one = runs_of(tok, size, d)
+            tok, d, size = tok[one], d[one], size[one]
+            cut = runs_of(tok)
+            shared = np.repeat(np.diff([*cut, len(tok)]) > 1, np.diff([*cut, len(tok)]))
+            tok, d, size = tok[shared], d[shared], size[shared]
+            pairs, left = [np.zeros((0, 2), np.int64)], np.arange(len(tok))
+            while len(left):  # each round's leaders take what fits their size; the rest has leaders of its own
+                begin = runs_of(tok[left])
+                lead = np.repeat(left[begin], np.diff([*begin, len(left)]))
+                fits = size[lead] * den >= num * size[left]
+                mine = fits & (lead != left)
+                pairs.append(np.stack([d[lead[mine]], d[left[mine]]], 1))
+                left = left[~fits]
+            pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
+            kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(tok)])
+            return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], tok.view(np.int64)]), "b": np.concatenate([pairs[:, 1], d]), "n": np.concatenate([np.zeros(len(pairs), np.int64), size])})
+
+        met = self.docs.mapInArrow(hand_out, "bucket int, tok binary, d binary, n binary").groupBy("bucket").applyInArrow(gather, "kind int, a long, b long, n long")
+        met = self.scratch.put(met, "met", "kind")
+        self.pairs, self.groups = met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("d1"), "n")
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """(a, b): representatives of pairs of digests that pass the bitmap bound."""
+        num, den = self.num, self.den
+        one = self.classes.select(F.col("d1").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("map").alias("map_a"))
+        two = one.toDF("b", "rep_b", "n_b", "map_b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b = _as_maps(batch.column("map_a")), _as_maps(batch.column("map_b"))
+                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                shape = np.array([len(x) << 32 | len(y) for x, y in zip(a, b)], np.int64)
+                keep = []
+                for s in np.unique(shape):
+                    i = np.flatnonzero(shape == s)
+                    ok = may_link(n_a[i], n_b[i], np.stack([a[k] for k in i]), np.stack([b[k] for k in i]), num, den)
+                    keep += i[ok].tolist()
+                if keep:
+                    yield batch.select(["rep_a", "rep_b"]).take(pa.array(keep)).rename_columns(["a", "b"])
+
+        return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+    def exact(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Those pairs (a, b) of representatives whose sets are linked, by exact intersection."""
+        n, pairs = self.n, self.scratch.put(pairs.distinct(), f"{name}-bounded")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(self.classes.select("rep", "d1", "d2"), "rep")
+        ids = self.scratch.put(ids, f"{name}-ids")
+        docs = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, F.expr("id = rep")).select("rep", "text", "d1", "d2")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch):
+                    sets = list(token_sets(part.column("text"), n))
+                    same = [i for i, s in enumerate(sets) if digest(s) == (part.column("d1")[i].as_py(), part.column("d2")[i].as_py())]
+                    yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["rep", "tokens"])
+
+        sets = self.scratch.put(docs.mapInArrow(run, "rep long, tokens array<long>").dropDuplicates(["rep"]), f"{name}-sets")
+        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        common = F.size(F.array_intersect("x", "y"))
+        linked = both.withColumn("c", common).where(f"{self.den} * c >= {self.num} * (size(x) + size(y) - c)").select("a", "b")
+        linked = self.scratch.put(linked, f"{name}-links")
+        self.scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-bounded")
+        tidy(self.spark)
+        return linked
+
+    def tiles(self, joined: DataFrame) -> DataFrame:
+        """(a, b): pairs of representatives that share a prefix token, pass the bound and are not joined."""
+        num, den = self.num, self.den
+        label = self.classes.join(joined.toDF("rep", "component"), "rep", "left").select("d1", "rep", "map", F.coalesce("component", "rep").alias("component"))
+        label = self.scratch.put(label, "labels")
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
+        rows = self.groups.join(label.select("d1", "component"), "d1").withColumn("band", band)
+        rows = rows.select("tok", "d1", "n", "component", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("tok", "d1", "n", "component", "t.*")
+        size = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.max("own").alias("some")).where("low < high AND some")
+        size = size.select("tok", "tile", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+        rows = rows.join(size, ["tok", "tile"]).withColumn("part", F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int"))
+        rows = rows.select("tok", "tile", "d1", "n", "component", "own", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))).alias("c"))
+        rows = rows.join(label.select("d1", "rep", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "rep", "map")
+        many = int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4
+
+        def run(key, rows):
+            rows = rows.sort_by("key")
+            tile, cut = np.asarray(rows.column("key")), None
+            cut = runs_of(tile)
+            n, comp, own, part, p, q, rep = (np.asarray(rows.column(c)) for c in ("n", "component", "own", "part", "p", "q", "rep"))
+            maps, out = _as_maps(rows.column("map")), [np.zeros((0, 2), np.int64)]
+            for i, j in zip(cut, [*cut[1:], len(tile)]):
+                size = min(len(maps[k]) for k in range(i, j))
+                m = np.stack([fold(maps[k][None], size)[0] for k in range(i, j)])
+                for k in range(i, j):
+                    if not own[k]:
+                        continue
+                    # pairs of one band once; in a cut tile the two sides come from different parts
+                    other = np.arange(i, j)
+                    ok = (comp[i:j] != comp[k]) & ((rep[i:j] > rep[k]) | ~own[i:j]) & (np.minimum(n[i:j], n[k]) * den >= num * np.maximum(n[i:j], n[k]))
+                    ok &= (part[i:j] != part[k]) if p[k] != q[k] else True
+                    other = other[ok]
+                    if len(other):
+                        other = other[may_link(n[other], n[k], m[other - i], m[k - i][None], num, den)]
+                        out.append(np.stack([np.full(len(other), rep[k]), rep[other]], 1))
+            pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
+            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        return rows.groupBy(F.pmod("key", F.lit(many))).applyInArrow(run, "a long, b long")
+
+    def run(self) -> DataFrame:
+        total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        level = self.describe()
+        classes = self.described.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("map").alias("map"))
+        self.classes = self.scratch.put(classes, "classes")
+        self.meet(level, total)
+        tidy(self.spark)
+        links = self.exact(self.bounded(self.pairs), "leaders")
+        joined = self.scratch.put(components(self.scratch, links, "first"), "joined")
+        more = self.exact(self.tiles(joined), "tiles")
+        if not more.isEmpty():
+            joined = self.scratch.put(components(self.scratch, links.unionAll(more), "second"), "all-joined")
+        member = self.classes.join(joined.toDF("rep", "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
+        member = self.scratch.put(member, "member")
+        self.scratch.drop("met", "labels")
+        out = self.described.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(member, ["d1", "d2"], "left")
+        return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_shingles, component_id): groups of documents linked by Jaccard >= num/den.
+
+    A document's set holds its distinct runs of ``words`` words, lower-cased in A-Z; with fewer words
+    the whole sequence is the only member.  component_id is the smallest id reachable by links, the
+    document's own included.
+
+    Null and empty texts have empty sets, which link with nothing, not even each other.  Rows without an
+    id have no component and link nothing.  Rows that repeat an id are joined through it if their texts
+    are equal.  Other columns are ignored; an empty table gives none.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return Join(rows, words, num, den).run().withColumnRenamed("id", id_col)

@@ -1,0 +1,218 @@
+"""Byte columns as MPEG transport streams, and back.
+
+A payload is cut into access units, each a PES packet with a time stamp, carried in 188-byte packets
+on one PID.  Program tables precede every random-access point.  Reading parses the tables (their
+CRC is checked), follows the continuity counters, reassembles the PES packets and returns their
+time stamps with the random-access points.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+from llm.common import small_batches
+
+#: Fixed values of the format, and the PIDs used when writing.
+SYNC, SIZE, PAT_PID, PMT_PID, ES_PID, STREAM_ID, STREAM_TYPE = 0x47, 188, 0, 0x1000, 0x100, 0xBD, 0x06
+#: Bytes of an access unit (20 groups of 192), ticks of 1/90000 s between units, units between random-access points.
+UNIT, TICKS, GROUP = 3840, 3600, 8
+
+
+def crc32_mpeg(data: bytes) -> int:
+    crc = 0xFFFFFFFF
+    for byte in data:
+        crc ^= byte << 24
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return crc
+
+
+def _section(table: int, ident: int, body: bytes) -> bytes:
+    head = bytes([table]) + (0xB000 | len(body) + 9).to_bytes(2, "big") + ident.to_bytes(2, "big") + b"\xc1\x00\x00" + body
+    return b"\x00" + head + crc32_mpeg(head).to_bytes(4, "big")  # after the pointer field
+
+
+_PAT = _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+_PMT = _section(2, 1, (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | ES_PID).to_bytes(2, "big") + b"\xf0\x00")
+
+
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    return (bytes([SYNC, 0x40 | pid >> 8, pid & 255, 0x10 | counter & 15]) + section).ljust(SIZE, b"\xff")
+
+
+def _stamp(pts: int) -> bytes:
+    return bytes([0x21 | pts >> 29 & 0x0E, pts >> 22 & 255, pts >> 14 & 254 | 1, pts >> 7 & 255, pts << 1 & 254 | 1])
+
+
+def mux(payload: bytes) -> bytes:
+    """A transport stream that carries ``payload``."""
+    out, counter, tables = [], 0, 0
+    for k in range(0, max(1, -(-len(payload) // UNIT))):
+        unit, pts, extra = payload[k * UNIT : (k + 1) * UNIT], k * TICKS & (1 << 33) - 1, b""
+        if k % GROUP == 0:
+            out += [_table_packet(PAT_PID, _PAT, tables), _table_packet(PMT_PID, _PMT, tables)]
+            tables += 1
+            extra = b"\x50" + (pts << 15 | 0x7E00).to_bytes(6, "big")  # random access, clock reference
+        pes = b"\x00\x00\x01" + bytes([STREAM_ID]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + _stamp(pts) + unit
+        at = 0
+        while at < len(pes):
+            room = 184 - (len(extra) + 1 if extra else 0)
+            part = pes[at : at + room]
+            head = bytes([SYNC, (0x40 if at == 0 else 0) | ES_PID >> 8, ES_PID & 255])
+            if extra or len(part) < 184:
+                body = extra or (b"\x00" if len(part) < 183 else b"")
+                body = body.ljust(183 - len(part), b"\xff")
+                out.append(head + bytes([0x30 | counter, len(body)]) + body + part)
+            else:
+                out.append(head + bytes([0x10 | counter]) + part)
+            counter, at, extra = counter + 1 & 15, at + len(part), b""
+    return b"".join(out)
+
+
+@dataclass
+class Stream:
+    """What a transport stream holds: the payload and, for each unit, its stamp and place."""
+
+    payload: bytes = b""
+    pts: list[int] = field(default_factory=list)
+    random_access: list[bool] = field(default_factory=list)
+    offset: list[int] = field(default_factory=list)
+    gaps: int = 0
+
+
+def _sections(pid: int, body: bytes, pmts: dict[int, int], streams: dict[int, int]) -> None:
+    at = 1 + body[0]
+    size = (body[at + 1] & 15) << 8 | body[at + 2]
+    section = body[at : at + 3 + size]
+    if len(section) < 3 + size or crc32_of(section):
+        raise ValueError(f"damaged table on PID {pid}")
+    if pid == PAT_PID:
+        for i in range(8, len(section) - 4, 4):
+            if program := section[i] << 8 | section[i + 1]:
+                pmts[(section[i + 2] & 31) << 8 | section[i + 3]] = program
+    else:
+        i = 12 + ((section[10] & 15) << 8 | section[11])
+        while i < len(section) - 4:
+            streams[(section[i + 1] & 31) << 8 | section[i + 2]] = section[i]
+            i += 5 + ((section[i + 3] & 15) << 8 | section[i + 4])
+
+
+_KNOWN: dict[bytes, int] = {}
+
+
+def crc32_of(section: bytes) -> int:
+    """0 for a whole section; remembered, as tables repeat."""
+    if section not in _KNOWN:
+        if len(_KNOWN) > 100:
+            _KNOWN.clear()
+        _KNOWN[section] = crc32_mpeg(section)
+    return _KNOWN[section]
+
+
+def demux(media: bytes) -> Stream:
+    """Parse a transport stream with one elementary stream; lost packets are counted as gaps.
+
+    An exact repetition of a packet is skipped, as the format allows.  Raises ValueError for lost
+    synchronisation and damaged tables.
+    """
+    pmts: dict[int, int] = {}
+    streams: dict[int, int] = {}
+    last: dict[int, int] = {}
+    got, units, flags = Stream(), [], []
+    if len(media) % SIZE:
+        raise ValueError("not whole packets")
+    for at in range(0, len(media), SIZE):
+        if media[at] != SYNC:
+            raise ValueError(f"no sync byte at {at}")
+        start, control = media[at + 1] & 0x40, media[at + 3]
+        pid, first, access = (media[at + 1] & 31) << 8 | media[at + 2], at + 4, False
+        if control & 0x20:
+            first += 1 + media[at + 4]
+            access = bool(media[at + 4] and media[at + 5] & 0x40)
+        if not control & 0x10:
+            continue
+        if pid in last and (control & 15) != (last[pid] + 1 & 15):
+            if control & 15 == last[pid]:
+                continue
+            got.gaps += 1
+        last[pid] = control & 15
+        if pid in streams:
+            if start:
+                units.append([])
+                flags.append(access)
+            if units:
+                units[-1].append(media[first : at + SIZE])
+        elif start and (pid == PAT_PID or pid in pmts):
+            _sections(pid, media[first : at + SIZE], pmts, streams)
+    parts, total = [], 0
+    for unit, access in zip(units, flags):
+        pes = b"".join(unit)
+        if pes[:3] != b"\x00\x00\x01":
+            raise ValueError("no start code")
+        s, end = pes[9:14], 6 + int.from_bytes(pes[4:6], "big")
+        got.pts.append((s[0] & 14) << 29 | s[1] << 22 | (s[2] & 254) << 14 | s[3] << 7 | s[4] >> 1)
+        got.random_access.append(access)
+        got.offset.append(total)
+        parts.append(pes[9 + pes[8] : end])
+        total += len(parts[-1])
+    got.payload = b"".join(parts)
+    return got
+
+
+def padded(text: str | None) -> tuple[int, bytes]:
+    """(size, payload): the UTF-8 text with spaces up to a positive multiple of 192 bytes."""
+    raw = (text or "").encode()
+    return len(raw), raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+
+
+def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, n_bytes, media): each text as a transport stream.
+
+    Null and empty texts are 192 spaces; equal texts give equal streams; null ids and repeated rows
+    are kept; other columns are left out; an empty table gives none.
+    """
+    small_batches(docs.sparkSession, 128)
+    docs = docs.select(id_col, text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, media = zip(*((n, mux(p)) for n, p in map(padded, batch.column(1).to_pylist()))) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], [id_col, "n_bytes", "media"])
+
+    return docs.mapInArrow(run, StructType(docs.select(id_col).schema.fields[:]).add("n_bytes", "long").add("media", "binary"))
+
+
+def read_media(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digests, units and a feature string of ``media(id_col, n_bytes, media)``, from the stored bytes.
+
+    feature: units, random-access points, last time stamp, lost packets, mean byte and the counts of
+    bytes by their upper three bits.
+    """
+    schema = StructType(media.select(id_col, "n_bytes").schema.fields[:])
+    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string"), ("random_access_pts", ArrayType(LongType()))):
+        schema = schema.add(name, kind)
+    names = schema.names[2:]
+
+    def one(m: bytes) -> tuple:
+        s = demux(m)
+        p = np.frombuffer(s.payload, np.uint8)
+        bins = np.bincount(p >> 5, minlength=8).tolist()
+        feature = f"units={len(s.pts)} points={sum(s.random_access)} last={s.pts[-1]} gaps={s.gaps} mean={int(p.sum()) / len(p):.6f} bins={','.join(map(str, bins))}"
+        points = [t for t, a in zip(s.pts, s.random_access) if a]
+        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, points
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = list(zip(*map(one, batch.column("media").to_pylist()))) or [()] * len(names)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), batch.column("n_bytes"), *(pa.array(x, k) for x, k in zip(got, kinds))], [id_col, "n_bytes", *names])
+
+    return media.select(id_col, "n_bytes", "media").mapInArrow(run, schema)

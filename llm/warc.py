@@ -1,0 +1,189 @@
+"""WARC archives: written by tasks, read back in byte ranges.
+
+Each record is a gzip member of its own.  A reading task looks for the gzip magic in its range,
+takes a candidate for a record only if it inflates to a WARC header, and owns the records that
+start inside its range, however far they reach.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import Scratch, small_batches
+
+MAGIC, VERSION, BREAK = b"\x1f\x8b\x08", b"WARC/1.1", b"\r\n"
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DATE = "2000-01-01T00:00:00Z"
+#: Bytes read at a time.
+PIECE = 1 << 20
+
+
+def record(kind: str, page: int | None, url: str | None, payload: bytes, refers_to: int | None = None) -> bytes:
+    """One record as a gzip member; a revisit holds the HTTP head without the payload."""
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + (payload if kind == "response" else b"")
+    uri = "".join((url or "").split())
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    if refers_to is not None:
+        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+    raw = VERSION + BREAK + "\r\n".join(head).encode() + BREAK * 2 + block + BREAK * 2
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(raw) + packer.flush()
+
+
+def parse(raw: bytes) -> tuple:
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of a record.
+
+    The digest of a response is computed from its payload and held against the header.
+    """
+    head, _, block = raw.partition(BREAK * 2)
+    fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode().split("\r\n")[1:])
+    block = block[: int(fields["Content-Length"])]
+    http, _, payload = block.partition(BREAK * 2)
+    size = int(next(x for x in http.split(BREAK) if x.lower().startswith(b"content-length:")).split(b":")[1])
+    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    page = lambda name: int(x) if (x := fields.get(name, "<urn:page:>")[10:-1]) else None
+    if fields["WARC-Type"] == "response":
+        if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
+            raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+    else:
+        payload = None
+    return page("WARC-Record-ID"), fields["WARC-Target-URI"], fields["WARC-Type"], size, digest, page("WARC-Refers-To"), payload
+
+
+def _member(file, at: int, size: int, only_head: bool) -> tuple[bytes, int] | None:
+    """(content, end) of the gzip member at ``at``; None if it is no WARC record."""
+    inflate, got, place, ok = zlib.decompressobj(31), [], at, False
+    while True:
+        file.seek(place)
+        piece = file.read(4096 if place == at else PIECE)
+        try:
+            got.append(inflate.decompress(piece))
+        except zlib.error:
+            return None
+        place += len(piece)
+        if not ok and sum(map(len, got)) >= len(VERSION):
+            if not b"".join(got).startswith(b"WARC/1."):
+                return None
+            ok = True
+            if only_head:
+                return b"", at
+        if inflate.eof:
+            return (b"".join(got), place - len(inflate.unused_data)) if ok else None
+        if place >= size or not piece:
+            return None
+
+
+def scan(file, size: int, start: int, end: int) -> Iterator[bytes]:
+    """The records that start in [start, end)."""
+    at = start
+    while at < end:
+        file.seek(at)
+        piece = file.read(min(PIECE, end + len(MAGIC) - 1 - at))
+        found = piece.find(MAGIC)
+        if found < 0 or at + found >= end:
+            if len(piece) < len(MAGIC) or at + len(piece) >= end:
+                return
+            at += len(piece) - len(MAGIC) + 1
+            continue
+        at += found
+        got = _member(file, at, size, False)
+        if got is None:
+            at += 1
+        else:
+            yield got[0]
+            at = got[1]
+
+
+def _file(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":/", ":///", 1))
+
+
+def dedup_plan(pages: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(id, digest, refers_to) of the rows that become revisits: equal payloads of ``least`` bytes or more."""
+    rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("p")).where(F.octet_length("p") >= least)
+    rows = rows.select("id", F.sha1("p").alias("digest"))
+    groups = rows.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("refers_to").isNotNull())
+    return rows.join(groups, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
+
+
+def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 1000) -> DataFrame:
+    """Write one archive a task into ``folder``; (path, size) of the archives.
+
+    Of equal payloads of ``least`` bytes or more the row with the largest id becomes a response and
+    the others revisits of it; rows that repeat that id stay responses, and so do rows without an id.  Null payloads are empty,
+    null ids and urls stay null or empty.  The list must be written by the caller before it is read
+    twice: an archive of a task that is run again gets another name, and only those listed count.
+    """
+    small_batches(pages.sparkSession, 256)
+    plan = dedup_plan(pages, id_col, text_col, least)
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(text_col).alias("html"), F.sha1(F.coalesce(text_col, F.lit("")).cast("binary")).alias("digest"))
+    rows = rows.join(plan, ["id", "digest"], "left").select("id", "url", "html", "refers_to")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, size, out, path = TaskContext.get(), 0, None, ""
+        for batch in batches:
+            for page, url, html, to in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if out is None:
+                    path = f"{folder}/part-{context.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
+                    fs, local = _file(path)
+                    fs.create_dir(local.rpartition("/")[0])
+                    out = fs.open_output_stream(local, compression=None)
+                data = record("response" if to is None else "revisit", page, url, (html or "").encode(), to)
+                out.write(data)
+                size += len(data)
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size])], ["path", "size"])
+
+    return rows.mapInArrow(run, "path string, size long")
+
+
+def read_warc(files: DataFrame, split_bytes: int = 16 << 20, payloads: bool = False) -> DataFrame:
+    """Records of ``files(path, size)``, read in ranges of ``split_bytes``.
+
+    (page_id, url, record_type, payload_bytes, payload_digest, refers_to), and payload on request
+    (null for revisits).  Empty files have no ranges and no records.
+    """
+    ranges = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(int(split_bytes)).cast("long"))).alias("start"))
+    ranges = ranges.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", *(["payload"] if payloads else [])]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, size, start in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                fs, local = _file(path)
+                got = []
+                with fs.open_input_file(local) as file:
+                    for raw in scan(file, size, start, min(size, start + split_bytes)):
+                        got.append(parse(raw)[: len(names)])
+                        if len(got) >= 256:
+                            yield _rows(got, names, kinds)
+                            got = []
+                if got:
+                    yield _rows(got, names, kinds)
+
+    schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
+    return ranges.mapInArrow(run, schema + (", payload binary" if payloads else ""))
+
+
+def _rows(got: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*got), kinds)], names)
+
+
+def archive(pages: DataFrame, split_bytes: int = 16 << 20, **columns) -> DataFrame:
+    """Write ``pages`` to archives in the shared folder and read these back."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    files = scratch.put(write_warc(pages, f"{scratch.path}/archives", **columns), "files")
+    return read_warc(files, split_bytes)
