@@ -42,7 +42,7 @@ def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     for k in range(w.rows):
         i, j = words[k], words[k + 1]
         if 0 < j - i < n:
-            yield mix((total[j : j + 1] - total[i : i + 1]) * powers(3, i + 1, True)[i] ^ np.uint64((j - i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            yield mix((total[j : j + 1] - total[i : i + 1]) * powers(3, i + 1, True)[i] ^ np.uint64(int(j - i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         else:
             yield np.unique(h[cut[k] : cut[k + 1]])
 

@@ -2,7 +2,7 @@
 
 With grades 0..K-1, one weight vector w shared by all grades and ordered thresholds t,
 P(grade <= k) = logistic(t_k - w.x).  x holds the presence of hashed words and punctuation runs and
-binned shares (capitals, punctuation, distinct words).  The model is fitted on the driver on a bounded
+binned shares (capitals, punctuation, distinct words, words said twice).  The model is fitted on the driver on a bounded
 sample of graded rows; scoring is one pass without a shuffle.
 """
 
@@ -24,7 +24,7 @@ BITS = 18
 #: Graded rows used for the fit at most: a sample by hash, about so many.
 SAMPLE = 12_000
 #: Features kept: those whose rows' mean grade differs most, in standard errors.
-FEATURES, LEAST_Z, LEAST_ROWS = 1024, 5.0, 8
+FEATURES, LEAST_Z, LEAST_ROWS = 1024, 2.5, 8
 BINS = 12
 
 
@@ -40,7 +40,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(1, words.counts())
     distinct = np.bincount(np.unique(words.row.astype(np.uint64) << np.uint64(44) | words.hash[0] >> np.uint64(20)) >> np.uint64(44), minlength=len(texts)) / count
     each = marks.counts() / count
-    for k, x in enumerate((capital, np.minimum(each, 1), distinct + np.minimum(7, np.log2(count).astype(int)))):
+    again = np.concatenate([[False], (words.hash[0][1:] == words.hash[0][:-1]) & (words.row[1:] == words.row[:-1])])[: len(words.row)]
+    again = np.bincount(words.row[again], minlength=len(texts)) / count
+    for k, x in enumerate((capital, np.minimum(each, 1), distinct + np.minimum(7, np.log2(count).astype(int)), again)):
         shape = (np.uint64(1 + k) << np.uint64(12)) + (np.asarray(x) * BINS).astype(np.uint64)
         pairs.append(rows.astype(np.uint64) << np.uint64(32) | (shape * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
     got = np.unique(np.concatenate(pairs))
@@ -60,7 +62,7 @@ class Ordinal:
     cuts: np.ndarray
 
     @staticmethod
-    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 400, l2: float = 3e-4) -> Ordinal:
+    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, l2: float = 3e-4) -> Ordinal:
         n = len(grade)
         share = np.cumsum(np.bincount(grade, minlength=grades) + 0.5)[:-1] / (n + 0.5 * grades)
         cuts = np.log(share / (1 - share))
@@ -135,7 +137,7 @@ def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int
     return Ordinal.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), grade, levels)
 
 
-def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at: float = 0.6, text_col: str = "text") -> DataFrame:
     """``docs`` with expected_grade, p_tail = P(grade >= tail) and keep = p_tail >= ``keep_at``.
 
     Null and empty texts get the grade of a text without words.  Without a model the grades are null
