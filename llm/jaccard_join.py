@@ -8,6 +8,7 @@ documents, so what very many documents share is not used to find partners.
 2. Prefix tokens are dealt to buckets.  Of each token's documents the smallest set is a leader and
    is paired with those of fitting size; pairs that pass the bitmap bound are intersected exactly.
    This joins groups of copies without looking at all their pairs.
+   A few rounds with other leaders, drawn by hash, join what the first ones missed.
 3. Documents that share a prefix token and are not joined yet meet in tiles of one size band and the
    next; large tiles are cut into smaller ones.  Bit counts of hashed bitmaps bound the overlap from
    above; what passes is intersected exactly.
@@ -31,6 +32,8 @@ from llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix,
 #: Counters of the sketch; part size when it is summed; documents of a tile that is not cut.
 SKETCH, SKETCH_PART, TILE = 1 << 18, 4096, 1024
 FLUSH = 1_000_000
+#: Rounds after the first leaders: the last one tests all that is left, the others only save it work.
+ROUNDS = 3
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -53,8 +56,8 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens by hashed bit, as many bits as the set has tokens or up to twice that."""
-    bits = power_of_two(len(tokens), 64, 1 << 14)
+    """Parities of the tokens by hashed bit; four to eight bits a token, so that few of them coincide."""
+    bits = power_of_two(4 * len(tokens), 64, 1 << 17)
     return np.packbits(np.bincount((tokens >> np.uint64(20)) & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -219,16 +222,28 @@ class Join:
         tidy(self.spark)
         return linked
 
-    def tiles(self, joined: DataFrame) -> DataFrame:
-        """(a, b): pairs of representatives that share a prefix token, pass the bound and are not joined."""
-        num, den = self.num, self.den
-        label = self.classes.join(joined.toDF("rep", "component"), "rep", "left").select("d1", "rep", "map", F.coalesce("component", "rep").alias("component"))
-        label = self.scratch.put(label, "labels")
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int")
-        rows = self.groups.join(label.select("d1", "component"), "d1").withColumn("band", band)
-        rows = rows.select("tok", "d1", "n", "component", F.explode(F.array(F.struct(F.col("band").alias("tile"), F.lit(True).alias("own")), F.struct((F.col("band") - 1).alias("tile"), F.lit(False).alias("own")))).alias("t")).select("tok", "d1", "n", "component", "t.*")
-        size = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.max("own").alias("some")).where("low < high AND some")
-        size = size.select("tok", "tile", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    def open_rows(self, joined: DataFrame) -> DataFrame:
+        """(tok, tile, d1, n, component, own) of the tiles whose documents are not all joined.
+
+        A tile holds the documents of one token and size band (``own``) and those of the next band.
+        """
+        label = self.classes.select("d1", "rep").join(joined.toDF("rep", "component"), "rep", "left").select("d1", F.coalesce("component", "rep").alias("component"))
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
+        places = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band - 1).alias("tile"), F.lit(False).alias("own")))
+        rows = self.groups.join(label, "d1").select("tok", "d1", "n", "component", F.explode(places).alias("t")).select("tok", "d1", "n", "component", "t.*")
+        some = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some")).where("low < high AND some")
+        return rows.join(some.select("tok", "tile"), ["tok", "tile"])
+
+    def led(self, rows: DataFrame, turn: int) -> DataFrame:
+        """(a, b): in each tile a leader drawn by hash with all that are not joined to it and fit in size."""
+        lead = rows.where("own").groupBy("tok", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d1").alias("h"), "d1", "n", "component")).alias("lead"))
+        fits = f"component <> lead.component AND {self.den} * least(n, lead.n) >= {self.num} * greatest(n, lead.n)"
+        return rows.join(lead, ["tok", "tile"]).where(fits).select(F.least("d1", "lead.d1").alias("a"), F.greatest("d1", "lead.d1").alias("b")).distinct()
+
+    def tiles(self, rows: DataFrame) -> DataFrame:
+        """(a, b): pairs of representatives of ``open_rows`` that pass the bound and are not joined."""
+        num, den, label = self.num, self.den, self.classes
+        size = rows.groupBy("tok", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
         rows = rows.join(size, ["tok", "tile"]).withColumn("part", F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int"))
         rows = rows.select("tok", "tile", "d1", "n", "component", "own", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))).alias("c"))
         rows = rows.join(label.select("d1", "rep", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "rep", "map")
@@ -267,13 +282,20 @@ class Join:
         self.meet(level, total)
         tidy(self.spark)
         links = self.exact(self.bounded(self.pairs), "leaders")
-        joined = self.scratch.put(components(self.scratch, links, "first"), "joined")
-        more = self.exact(self.tiles(joined), "tiles")
-        if not more.isEmpty():
-            joined = self.scratch.put(components(self.scratch, links.unionAll(more), "second"), "all-joined")
+        joined = self.scratch.put(components(self.scratch, links, "cc"), "joined-0")
+        for turn in range(1, ROUNDS + 1):
+            rows = self.scratch.put(self.open_rows(joined), f"open-{turn}")
+            last = turn == ROUNDS or rows.isEmpty()
+            more = self.exact(self.tiles(rows) if last else self.bounded(self.led(rows, turn)), f"round-{turn}")
+            self.scratch.drop(f"open-{turn}")
+            links = links.unionAll(more)
+            if not more.isEmpty():
+                joined = self.scratch.put(components(self.scratch, links, "cc"), f"joined-{turn}")
+            if last:
+                break
         member = self.classes.join(joined.toDF("rep", "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
         member = self.scratch.put(member, "member")
-        self.scratch.drop("met", "labels")
+        self.scratch.drop("met")
         out = self.described.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).alias("d1"), "d2").join(member, ["d1", "d2"], "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component_id"))
 
