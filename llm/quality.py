@@ -24,7 +24,7 @@ BITS = 18
 #: Graded rows used for the fit at most: a sample by hash, about so many.
 SAMPLE = 12_000
 #: Features kept: those whose rows' mean grade differs most, in standard errors.
-FEATURES, LEAST_Z, LEAST_ROWS = 1024, 2.5, 8
+FEATURES, LEAST_Z, LEAST_ROWS = 1024, 3.0, 8
 BINS = 12
 
 
@@ -62,7 +62,7 @@ class Ordinal:
     cuts: np.ndarray
 
     @staticmethod
-    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, l2: float = 3e-4) -> Ordinal:
+    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, l2: float = 1e-4) -> Ordinal:
         n = len(grade)
         share = np.cumsum(np.bincount(grade, minlength=grades) + 0.5)[:-1] / (n + 0.5 * grades)
         cuts = np.log(share / (1 - share))
@@ -137,7 +137,7 @@ def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int
     return Ordinal.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), grade, levels)
 
 
-def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at: float = 0.6, text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` with expected_grade, p_tail = P(grade >= tail) and keep = p_tail >= ``keep_at``.
 
     Null and empty texts get the grade of a text without words.  Without a model the grades are null
