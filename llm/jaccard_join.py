@@ -10,7 +10,8 @@ documents, so what very many documents share is not used to find partners.
    This joins groups of copies without looking at all their pairs.
    A few rounds with other leaders, drawn by hash, join what the first ones missed.
 3. Documents that share a prefix token and are not joined yet meet in tiles of one size band and the
-   next; large tiles are cut into smaller ones.  Bit counts of hashed bitmaps bound the overlap from
+   next; large tiles are cut into smaller ones.  A pair is looked at where its first shared token
+   may be: so many of either set's tokens must be left from there on.  Bit counts of hashed bitmaps bound the overlap from
    above; what passes is intersected exactly.
 
 No pair that could be linked is left out: each is joined in step 2 or tested in step 3.
@@ -81,6 +82,14 @@ def prefix_size(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def may_start(n_a, n_b, rest_a, rest_b, num: int, den: int):
+    """Whether a token can be the first that two linked sets share, with so many of their tokens from it on.
+
+    Before the first shared token nothing is common, so the overlap is at most the smaller rest.
+    """
+    return num * (n_a + n_b) <= (num + den) * np.minimum(rest_a, rest_b)
+
+
 def _as_maps(column) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint8) for x in column.to_pylist()]
 
@@ -129,14 +138,13 @@ class Join:
         shift = np.uint64(65 - buckets.bit_length())
 
         def flush(got: list) -> Iterator[pa.RecordBatch]:
-            tok, d, size = (np.concatenate(x) for x in zip(*got))
+            tok, d, size, rest = (np.concatenate(x) for x in zip(*got))
             order = np.lexsort((d, tok))
-            tok, d, size = tok[order], d[order], size[order]
-            one = runs_of(tok, d)
-            tok, d, size = tok[one], d[one], size[one]
+            order = order[runs_of(tok[order], d[order])]
+            tok, d, size, rest = tok[order], d[order], size[order], rest[order]
             cut = runs_of(tok >> shift)
-            rows = [(int(tok[i] >> shift), pack(tok[i:j]), pack(d[i:j]), pack(size[i:j])) for i, j in zip(cut, [*cut[1:], len(tok)])]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))], ["bucket", "tok", "d", "n"])
+            rows = [(int(tok[i] >> shift), *(pack(x[i:j]) for x in (tok, d, size, rest))) for i, j in zip(cut, [*cut[1:], len(tok)])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "tok", "d", "n", "rest"])
 
         def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got, count = [], 0
@@ -145,7 +153,7 @@ class Join:
                     for tokens in token_sets(part.column("text"), n):
                         if len(tokens):
                             order = np.argsort(level[tokens & np.uint64(SKETCH - 1)], kind="stable")[: prefix_size(len(tokens), num, den)]
-                            got.append((tokens[order], np.full(len(order), digest(tokens)[0]), np.full(len(order), len(tokens), np.uint32)))
+                            got.append((tokens[order], np.full(len(order), digest(tokens)[0]), np.full(len(order), len(tokens), np.uint32), np.arange(len(tokens), len(tokens) - len(order), -1, dtype=np.uint32)))
                             count += len(order)
                     if count > FLUSH:
                         yield from flush(got)
@@ -154,29 +162,28 @@ class Join:
                 yield from flush(got)
 
         def gather(key, rows):
-            tok, d, size = unpack_all(rows.column("tok"), np.uint64), unpack_all(rows.column("d"), np.int64), unpack_all(rows.column("n"), np.uint32)
+            tok, d = unpack_all(rows.column("tok"), np.uint64), unpack_all(rows.column("d"), np.int64)
+            size, rest = (unpack_all(rows.column(c), np.uint32).astype(np.int64) for c in ("n", "rest"))
             order = np.lexsort((d, size, tok))
-            tok, d, size = tok[order], d[order], size[order].astype(np.int64)
-            one = runs_of(tok, size, d)
-            tok, d, size = tok[one], d[one], size[one]
-            cut = runs_of(tok)
-            shared = np.repeat(np.diff([*cut, len(tok)]) > 1, np.diff([*cut, len(tok)]))
-            tok, d, size = tok[shared], d[shared], size[shared]
+            order = order[runs_of(tok[order], size[order], d[order])]
+            cut = runs_of(tok[order])
+            order = order[np.repeat(np.diff([*cut, len(order)]) > 1, np.diff([*cut, len(order)]))]
+            tok, d, size, rest = tok[order], d[order], size[order], rest[order]
             pairs, left = [np.zeros((0, 2), np.int64)], np.arange(len(tok))
             while len(left):  # each round's leaders take what fits their size; the rest has leaders of its own
                 begin = runs_of(tok[left])
                 lead = np.repeat(left[begin], np.diff([*begin, len(left)]))
                 fits = size[lead] * den >= num * size[left]
-                mine = fits & (lead != left)
+                mine = fits & (lead != left) & may_start(size[lead], size[left], rest[lead], rest[left], num, den)
                 pairs.append(np.stack([d[lead[mine]], d[left[mine]]], 1))
                 left = left[~fits]
             pairs = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
             kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(tok)])
-            return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], tok.view(np.int64)]), "b": np.concatenate([pairs[:, 1], d]), "n": np.concatenate([np.zeros(len(pairs), np.int64), size])})
+            return pa.table({"kind": kind, "a": np.concatenate([pairs[:, 0], tok.view(np.int64)]), "b": np.concatenate([pairs[:, 1], d]), "n": np.concatenate([np.zeros(len(pairs), np.int64), size]), "rest": np.concatenate([np.zeros(len(pairs), np.int64), rest])})
 
-        met = self.docs.mapInArrow(hand_out, "bucket int, tok binary, d binary, n binary").groupBy("bucket").applyInArrow(gather, "kind int, a long, b long, n long")
+        met = self.docs.mapInArrow(hand_out, "bucket int, tok binary, d binary, n binary, rest binary").groupBy("bucket").applyInArrow(gather, "kind int, a long, b long, n long, rest long")
         met = self.scratch.put(met, "met", "kind")
-        self.pairs, self.groups = met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("d1"), "n")
+        self.pairs, self.groups = met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("d1"), "n", "rest")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """(a, b): representatives of pairs of digests that pass the bitmap bound."""
@@ -222,22 +229,26 @@ class Join:
         tidy(self.spark)
         return linked
 
-    def open_rows(self, joined: DataFrame) -> DataFrame:
-        """(tok, tile, d1, n, component, own) of the tiles whose documents are not all joined.
+    def placed(self) -> DataFrame:
+        """(tok, tile, d1, n, rest, own): a tile holds a token's sets of one size band (``own``) and of the next."""
+        band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
+        places = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band - 1).alias("tile"), F.lit(False).alias("own")))
+        return self.groups.select("tok", "d1", "n", "rest", F.explode(places).alias("t")).select("tok", "t.tile", "d1", "n", "rest", "t.own")
+
+    def open_rows(self, rows: DataFrame, joined: DataFrame) -> DataFrame:
+        """``rows`` with their ``component``, of the tiles whose sets are not all joined.
 
-        A tile holds the documents of one token and size band (``own``) and those of the next band.
+        Sets whose rest is too small even for the smallest of their tile go: the token starts no link of theirs.
         """
         label = self.classes.select("d1", "rep").join(joined.toDF("rep", "component"), "rep", "left").select("d1", F.coalesce("component", "rep").alias("component"))
-        band = F.floor(F.log(F.col("n").cast("double")) / math.log(self.den / self.num) + 1e-9).cast("int")
-        places = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band - 1).alias("tile"), F.lit(False).alias("own")))
-        rows = self.groups.join(label, "d1").select("tok", "d1", "n", "component", F.explode(places).alias("t")).select("tok", "d1", "n", "component", "t.*")
-        some = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some")).where("low < high AND some")
-        return rows.join(some.select("tok", "tile"), ["tok", "tile"])
+        rows = rows.select("tok", "tile", "d1", "n", "rest", "own").join(label, "d1")
+        some = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some"), F.min("n").alias("least")).where("low < high AND some")
+        return rows.join(some.select("tok", "tile", "least"), ["tok", "tile"]).where(f"{self.num} * (n + least) <= {self.num + self.den} * rest").drop("least")
 
     def led(self, rows: DataFrame, turn: int) -> DataFrame:
         """(a, b): in each tile a leader drawn by hash with all that are not joined to it and fit in size."""
-        lead = rows.where("own").groupBy("tok", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d1").alias("h"), "d1", "n", "component")).alias("lead"))
-        fits = f"component <> lead.component AND {self.den} * least(n, lead.n) >= {self.num} * greatest(n, lead.n)"
+        lead = rows.where("own").groupBy("tok", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d1").alias("h"), "d1", "n", "rest", "component")).alias("lead"))
+        fits = f"component <> lead.component AND {self.den} * least(n, lead.n) >= {self.num} * greatest(n, lead.n) AND {self.num} * (n + lead.n) <= {self.num + self.den} * least(rest, lead.rest)"
         return rows.join(lead, ["tok", "tile"]).where(fits).select(F.least("d1", "lead.d1").alias("a"), F.greatest("d1", "lead.d1").alias("b")).distinct()
 
     def tiles(self, rows: DataFrame) -> DataFrame:
@@ -245,15 +256,15 @@ class Join:
         num, den, label = self.num, self.den, self.classes
         size = rows.groupBy("tok", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
         rows = rows.join(size, ["tok", "tile"]).withColumn("part", F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int"))
-        rows = rows.select("tok", "tile", "d1", "n", "component", "own", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))).alias("c"))
-        rows = rows.join(label.select("d1", "rep", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "rep", "map")
+        rows = rows.select("tok", "tile", "d1", "n", "rest", "component", "own", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))).alias("c"))
+        rows = rows.join(label.select("d1", "rep", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "rest", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "rep", "map")
         many = int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4
 
         def run(key, rows):
             rows = rows.sort_by("key")
             tile, cut = np.asarray(rows.column("key")), None
             cut = runs_of(tile)
-            n, comp, own, part, p, q, rep = (np.asarray(rows.column(c)) for c in ("n", "component", "own", "part", "p", "q", "rep"))
+            n, rest, comp, own, part, p, q, rep = (np.asarray(rows.column(c)) for c in ("n", "rest", "component", "own", "part", "p", "q", "rep"))
             maps, out = _as_maps(rows.column("map")), [np.zeros((0, 2), np.int64)]
             for i, j in zip(cut, [*cut[1:], len(tile)]):
                 size = min(len(maps[k]) for k in range(i, j))
@@ -264,6 +275,7 @@ class Join:
                     # pairs of one band once; in a cut tile the two sides come from different parts
                     other = np.arange(i, j)
                     ok = (comp[i:j] != comp[k]) & ((rep[i:j] > rep[k]) | ~own[i:j]) & (np.minimum(n[i:j], n[k]) * den >= num * np.maximum(n[i:j], n[k]))
+                    ok &= may_start(n[i:j], n[k], rest[i:j], rest[k], num, den)
                     ok &= (part[i:j] != part[k]) if p[k] != q[k] else True
                     other = other[ok]
                     if len(other):
@@ -283,16 +295,19 @@ class Join:
         tidy(self.spark)
         links = self.exact(self.bounded(self.pairs), "leaders")
         joined = self.scratch.put(components(self.scratch, links, "cc"), "joined-0")
+        rows = self.placed()
         for turn in range(1, ROUNDS + 1):
-            rows = self.scratch.put(self.open_rows(joined), f"open-{turn}")
+            rows = self.scratch.put(self.open_rows(rows, joined), f"open-{turn}")
+            if turn > 1:
+                self.scratch.drop(f"open-{turn - 1}")
             last = turn == ROUNDS or rows.isEmpty()
             more = self.exact(self.tiles(rows) if last else self.bounded(self.led(rows, turn)), f"round-{turn}")
-            self.scratch.drop(f"open-{turn}")
             links = links.unionAll(more)
             if not more.isEmpty():
                 joined = self.scratch.put(components(self.scratch, links, "cc"), f"joined-{turn}")
             if last:
                 break
+        self.scratch.drop(f"open-{turn}")
         member = self.classes.join(joined.toDF("rep", "component"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
         member = self.scratch.put(member, "member")
         self.scratch.drop("met")
