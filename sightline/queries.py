@@ -9,6 +9,7 @@ from sightline.functions import geometry as G
 from sightline.functions.labels import LabelRegistry, intern
 from sightline.operators import filters as L
 from sightline.operators import metrics as M
+from sightline.operators import prediction as D
 from sightline.operators import timeline as T
 from sightline.operators.matching import Matcher, feasible, match, match_join, sides
 from sightline.plans.pipeline import Catalog, Pipeline, average_precision_sweep
@@ -256,35 +257,54 @@ def _time() -> None:
     query("entity_times", f"WITH {GEN} SELECT DISTINCT frame FROM te")(lambda s, d: T.times(S.tracks(s, d, "est")))
 
     def probes(s, d):
-        return S.boxes(s, d, "est").where("frame % 10 = 0").withColumn("t", F.col("frame") + 1).withColumn("axis", F.lit(0)).select("axis", "t", "frame", "row_idx", "x", "y", "z")
+        return S.boxes(s, d, "est").withColumn("t", F.col("frame") + 1).withColumn("axis", F.lit(0)).select("axis", "t", "frame", "row_idx", "x", "y", "z")
 
     def moved(s, d, policy):
         got = T.lookup(probes(s, d), S.poses(s, d).withColumn("axis", F.lit(0)), policy, ["axis"]).where("pose IS NOT NULL")
         return neat(T.transform(got).select("frame", "row_idx", "x", "y", "z"))
 
     apply_ = "round(b.x * cos(po.yaw) - b.y * sin(po.yaw) + tx, 6) AS x, round(b.x * sin(po.yaw) + b.y * cos(po.yaw) + ty, 6) AS y, round(b.z, 6) AS z"
-    query("transform_latest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM (SELECT *, (SELECT max(t) FROM po WHERE t <= be.frame + 1) AS pt FROM be WHERE frame % 10 = 0) b JOIN po ON po.t = b.pt")(lambda s, d: moved(s, d, "latest"))
-    query("transform_exact", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b JOIN po ON po.t = b.frame + 1 WHERE b.frame % 10 = 0")(lambda s, d: moved(s, d, "exact"))
-    query("transform_nearest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM (SELECT *, (SELECT min_by(t, (abs(t - be.frame - 1), t)) FROM po) AS pt FROM be WHERE frame % 10 = 0) b JOIN po ON po.t = b.pt")(lambda s, d: moved(s, d, "nearest"))
+    query("transform_latest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b ASOF JOIN po ON b.frame + 1 >= po.t")(lambda s, d: moved(s, d, "latest"))
+    query("transform_exact", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b JOIN po ON po.t = b.frame + 1")(lambda s, d: moved(s, d, "exact"))
+    query("transform_nearest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b JOIN (SELECT frame, min_by(t, (abs(t - frame - 1), t)) AS pt FROM (SELECT DISTINCT frame FROM be) CROSS JOIN po GROUP BY frame) n ON n.frame = b.frame JOIN po ON po.t = n.pt")(lambda s, d: moved(s, d, "nearest"))
     query("transform_interpolate")(lambda s, d: moved(s, d, "interpolate"))
 
     def paired(s, d):
         a = S.tracks(s, d, "gt").select((F.col("frame") * 10).alias("t")).distinct()
-        b = S.tracks(s, d, "est").where("row_idx >= 1").select((F.col("frame") * 10 + 3).alias("t")).distinct()
+        b = S.tracks(s, d, "est").select((F.col("frame") * 10 + 3).alias("t")).distinct()
         return T.pair_times(a, b, 5)
 
-    query("pair_times", f"WITH {GEN} SELECT a.t AS reference, b.t AS query FROM (SELECT DISTINCT frame * 10 AS t FROM tg) a JOIN (SELECT DISTINCT frame * 10 + 3 AS t FROM te WHERE row_idx >= 1) b ON b.t = a.t + 3")(paired)
+    query("pair_times", f"WITH {GEN} SELECT a.t AS reference, b.t AS query FROM (SELECT DISTINCT frame * 10 AS t FROM tg) a JOIN (SELECT DISTINCT frame * 10 + 3 AS t FROM te) b ON b.t = a.t + 3")(paired)
     query("instance_intern", f"WITH {GEN}, f AS (SELECT instance, min((frame, row_idx)) AS k FROM te GROUP BY instance) SELECT instance, row_number() OVER (ORDER BY k, instance) - 1 AS instance_id FROM f")(lambda s, d: intern(S.tracks(s, d, "est"), "instance", ["frame", "row_idx"]))
     names = LabelRegistry(tuple(CLASSES))
     query("label_encode", "SELECT event_id, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS INT) AS class_id FROM events")(lambda s, d: S.table(s, d, "events").select("event_id", names.encode(F.col("event_type"), "unknown").cast("int").alias("class_id")))
 
 
+def _paths() -> None:
+    axis = lambda k: f"(SELECT unnest(range({k})) AS {{0}})"
+    base = f"""WITH p AS (SELECT a.vec_id AS id, a.label AS ec, b.label AS gc, a.embedding AS e, b.embedding AS g FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+md AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY e[61 + m] DESC, m DESC) AS rk FROM p CROSS JOIN {axis(4).format('m')} WHERE ec = gc),
+tm AS (SELECT *, least((q + 1) * 3 // 2, 5) AS a, least((q + 1) * 3 // 2 + 1, 5) AS b, CASE WHEN (q + 1) * 3 // 2 < 5 THEN ((q + 1) * 150 - (q + 1) * 3 // 2 * 100) / 100.0 ELSE 0 END AS w FROM md CROSS JOIN {axis(5).format('q')}),
+kn AS (SELECT *, {", ".join(f"CAST(CASE WHEN {i} = 0 THEN e[{c}] ELSE e[m * 15 + {i} * 3 - 3 + {c}] END AS DOUBLE) AS {n}{i}" for i in "ab" for c, n in ((1, "x"), (2, "y")))}, CAST(g[q * 3 + 1] AS DOUBLE) AS gx, CAST(g[q * 3 + 2] AS DOUBLE) AS gy FROM tm),
+ds AS (SELECT id, gc, rk, q, sqrt((xa + w * (xb - xa) - gx) * (xa + w * (xb - xa) - gx) + (ya + w * (yb - ya) - gy) * (ya + w * (yb - ya) - gy)) AS d FROM kn),
+mo AS (SELECT id, gc, rk, avg(d) AS ade, max_by(d, q) AS fde, count(*) FILTER (d >= 0.25) AS misses, count(*) AS steps FROM ds GROUP BY id, gc, rk),
+ks AS (SELECT unnest([1, 3, 6]) AS k),
+"""
+    tail = """cl AS (SELECT class, (SELECT count(*) FROM p WHERE c.class IS NULL OR gc = c.class) AS n FROM (SELECT gc AS class FROM p UNION SELECT ec FROM p UNION SELECT NULL) c)
+SELECT CAST(class AS INT) AS class, CAST(ks.k AS INT) AS k, round(avg(ade), 6) AS ade, round(avg(fde), 6) AS fde, round(sum(misses) / CAST(sum(steps) AS DOUBLE), 6) AS miss_rate, CAST(n AS BIGINT) AS support
+FROM cl CROSS JOIN ks LEFT JOIN ob ON ob.k = ks.k AND (class IS NULL OR ob.gc = class) GROUP BY class, n, ks.k"""
+    mean = "ob AS (SELECT id, gc, k, avg(ade) AS ade, avg(fde) AS fde, sum(misses) AS misses, sum(steps) AS steps FROM mo JOIN ks ON rk <= k GROUP BY id, gc, k), "
+    best = "ob AS (SELECT id, gc, k, min(ade) AS ade, min(fde) AS fde, min_by(misses, (ade, rk)) AS misses, min_by(steps, (ade, rk)) AS steps FROM mo JOIN ks ON rk <= k GROUP BY id, gc, k), "
+    for name, part, flag in (("path_displacement", mean, False), ("path_displacement_best", best, True)):
+        query(name, base + part + tail)(lambda s, d, flag=flag: neat(D.path_displacement(S.paths(s, d), tolerance=0.25, best_of_k=flag)))
+
+
 def _ranged(rows: DataFrame) -> DataFrame:
     low = rows.agg(F.min("frame")).first()[0]
     return T.time_range(rows, low + 10, low + 50, open_high=True).select("frame", "row_idx", "class")
 
 
-for _part in (_filters, _masks, _scores, _matching, _metrics, _time):
+for _part in (_filters, _masks, _scores, _matching, _metrics, _time, _paths):
     _part()
 
 

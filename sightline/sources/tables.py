@@ -64,3 +64,17 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     yaw = F.lit(2 * math.pi) * (F.col("m.o_custkey") % 360) / 360
     zero = F.lit(0.0)
     return best.select("t", F.lit("map").alias("parent"), F.lit("base").alias("child"), (F.col("m.o_totalprice") / 1000).alias("tx"), (F.col("m.o_orderkey") % 100).cast("double").alias("ty"), zero.alias("tz"), zero.alias("qx"), zero.alias("qy"), F.sin(yaw / 2).alias("qz"), F.cos(yaw / 2).alias("qw"))
+
+
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` as joined predictions: four paths of five steps against the next row's first path.
+
+    Steps of estimates are 100 apart, those of ground truth 150, so the last ones lie beyond the estimates.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    e = lambda i: F.col("embedding")[i].cast("double")
+    steps = lambda mode, apart: F.array(*(F.struct(F.lit(apart * (i + 1)).cast("long").alias("t"), e(mode * 15 + i * 3).alias("x"), e(mode * 15 + i * 3 + 1).alias("y")) for i in range(5)))
+    modes = F.array(*(F.struct(e(60 + m).alias("confidence"), steps(m, 100).alias("steps")) for m in range(4)))
+    est = rows.select("vec_id", e(0).alias("e_x"), e(1).alias("e_y"), F.col("label").alias("e_class"), modes.alias("e_modes"))
+    gt = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("g_class"), steps(0, 150).alias("g_future"))
+    return est.join(gt, "vec_id").withColumn("label_correct", F.col("e_class") == F.col("g_class"))
