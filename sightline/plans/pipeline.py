@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sightline.operators import metrics
 from sightline.operators.matching import Matcher, match, match_join
@@ -16,6 +17,8 @@ class Catalog:
     """Entities by path; a step's output is an entity like any other, so results can be queried."""
 
     entities: dict[str, DataFrame] = field(default_factory=dict)
+    statics: dict[str, list[DataFrame]] = field(default_factory=dict)
+    heirs: dict[str, str] = field(default_factory=dict)
 
     def put(self, path: str, rows: DataFrame) -> DataFrame:
         self.entities[_clean(path)] = rows
@@ -26,6 +29,41 @@ class Catalog:
             raise KeyError(f"no entity {path}")
         return self.entities[_clean(path)]
 
+    def put_static(self, path: str, row: DataFrame) -> None:
+        """Columns of one row that hold at all times; a later write of a column wins."""
+        self.statics.setdefault(_clean(path), []).append(row)
+
+    def inherit_static(self, path: str, source: str) -> None:
+        """``path`` sees what is static at ``source``, now or later; its own columns win."""
+        path, at = _clean(path), _clean(source)
+        while at:
+            if at == path:
+                raise ValueError(f"{path} would inherit from itself")
+            at = self.heirs.get(at)
+        self.heirs[path] = _clean(source)
+
+    def static(self, path: str) -> DataFrame | None:
+        """The static row of an entity; more than one row in a write raises when it is read."""
+        path = _clean(path)
+        writes = [self.static(self.heirs[path])] if path in self.heirs else []
+        writes = [w for w in writes + self.statics.get(path, []) if w is not None]
+        if not writes:
+            return None
+        last = {c: i for i, w in enumerate(writes) for c in w.columns}
+        one = lambda i, c: F.when(F.count("*") != 1, F.raise_error(F.lit(f"{path}: static columns need one row")).cast(writes[i].schema[c].dataType)).otherwise(F.first(c)).alias(c)
+        out = None
+        for i, w in enumerate(writes):
+            mine = [c for c in w.columns if last[c] == i]
+            if mine:
+                row = w.agg(*(one(i, c) for c in mine))
+                out = row if out is None else out.crossJoin(F.broadcast(row))
+        return out
+
+    def view(self, path: str) -> DataFrame:
+        """Rows of an entity with its static columns, which win over its own."""
+        rows, static = self.get(path), self.static(path)
+        return rows if static is None else rows.drop(*static.columns).crossJoin(F.broadcast(static))
+
     def under(self, prefix: str) -> list[str]:
         p = _clean(prefix)
         return sorted(x for x in self.entities if x == p or x.startswith(p.rstrip("/") + "/"))
