@@ -152,3 +152,15 @@ def in_polygon(x: Column, y: Column, polygon: list[tuple[float, float]], edge: b
             spans = (y >= min(y1, y2)) & (y < max(y1, y2))
             odd = odd + (spans & (x < x1 + (y - y1) * (x2 - x1) / (y2 - y1))).cast("int")
     return on | (odd % 2 == 1) if edge else ~on & (odd % 2 == 1)
+
+
+def bev_area(p: str = "") -> Column:
+    return F.col(p + "w") * F.col(p + "l")
+
+
+def volume(p: str = "") -> Column:
+    return bev_area(p) * F.col(p + "h")
+
+
+def roi_area(p: str = "") -> Column:
+    return F.col(p + "rw") * F.col(p + "rh")

@@ -124,3 +124,8 @@ def by_coverage(points: DataFrame, reference: DataFrame, tolerance: float = 1e-6
     close = norm(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"), F.col("z") - F.col("rz")) <= tolerance
     hit = own.join(ref, ["frame", "cx", "cy", "cz"]).where(close).select(*KEY).distinct().withColumn("hit", F.lit(True))
     return own.select(*KEY).join(hit, KEY, "left").select(*KEY, F.coalesce("hit", F.lit(False)).alias("mask"))
+
+
+def selected(rows: DataFrame) -> DataFrame:
+    """(frame, selected, total) of a mask."""
+    return rows.groupBy("frame").agg(F.count_if("mask").alias("selected"), F.count("*").alias("total"))

@@ -183,3 +183,16 @@ def segmentation_confusion(elements: DataFrame, classes: list[int]) -> DataFrame
     got = elements.groupBy("gt_class", "est_class").agg(F.count("*").alias("count"))
     axis = elements.sparkSession.createDataFrame([(a, b) for a in [*classes, -2] for b in [*classes, -2]], "gt_class int, est_class int")
     return axis.join(got, ["gt_class", "est_class"], "left").select("gt_class", "est_class", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+
+
+def as_matrix(counts: DataFrame, classes: list) -> DataFrame:
+    """A confusion table with a column for each estimated class of ``classes``."""
+    return counts.groupBy("gt_class").pivot("est_class", classes).agg(F.sum("count"))
+
+
+def of_class(values: DataFrame, label) -> DataFrame:
+    """A metric's row of one class; None: of all classes.  No row, or several, raise."""
+    one = values.where(F.col("class").eqNullSafe(F.lit(label))).limit(2)
+    fail = F.raise_error(F.lit(f"not one row of class {label}"))
+    checked = one.agg(F.count("*").alias("n"), F.first(F.struct(*values.columns)).alias("row"))
+    return checked.select(F.when(F.col("n") == 1, F.col("row")).otherwise(fail.cast(checked.schema["row"].dataType)).alias("row")).select("row.*")

@@ -92,7 +92,16 @@ class Pipeline:
             raise ValueError("two steps write one entity")
         self.steps = steps
 
+    def check(self, catalog: Catalog) -> None:
+        """An input that neither the catalog nor an earlier step gives raises before anything runs."""
+        known = set(catalog.entities)
+        for step in self.steps:
+            if lost := [r for r in step.reads if _clean(r) not in known]:
+                raise KeyError(f"{step.writes} reads what is not there: {lost}")
+            known.add(_clean(step.writes))
+
     def run(self, catalog: Catalog) -> Catalog:
+        self.check(catalog)
         for step in self.steps:
             catalog.put(step.writes, step.run(*map(catalog.get, step.reads)))
         return catalog

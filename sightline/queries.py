@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as G
+from sightline.functions import pose as P
 from sightline.functions.labels import LabelRegistry, intern
 from sightline.operators import filters as L
 from sightline.operators import metrics as M
 from sightline.operators import prediction as D
 from sightline.operators import timeline as T
 from sightline.operators.matching import Matcher, feasible, match, match_join, sides
+from sightline.plans import assembly as A
 from sightline.plans.pipeline import Catalog, Pipeline, average_precision_sweep
 from sightline.sources import tables as S
 
@@ -299,12 +303,75 @@ FROM cl CROSS JOIN ks LEFT JOIN ob ON ob.k = ks.k AND (class IS NULL OR ob.gc =
         query(name, base + part + tail)(lambda s, d, flag=flag: neat(D.path_displacement(S.paths(s, d), tolerance=0.25, best_of_k=flag)))
 
 
+def _more() -> None:
+    speed = "SELECT event_id, value / 10 AS vx, event_id % 7 AS vy FROM events WHERE event_id % 5 <> 0"
+
+    def quick(s, d):
+        lost = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan")))
+        rows = S.table(s, d, "events").select("event_id", lost.otherwise(F.col("value") / 10).alias("vx"), (F.col("event_id") % 7).cast("double").alias("vy"), F.lit(0.0).alias("vz"))
+        return rows.where(L.by_speed(2, 6)).select("event_id")
+
+    query("filter_speed", f"SELECT event_id FROM ({speed}) WHERE sqrt(vx * vx + vy * vy) BETWEEN 2 AND 6")(quick)
+    pts = "SELECT vec_id % 10 AS frame, vec_id AS point_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"
+    square = [(-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]
+    turn = "(atan2(y, x) - 0.1 - 6.283185307179586 * floor((atan2(y, x) - 0.1) / 6.283185307179586))"
+    for name, predicate, where in (
+        ("filter_points_region", lambda: L.by_region((-0.1, -0.05), (0.2, 0.1)), "x BETWEEN -0.1 AND 0.2 AND y BETWEEN -0.05 AND 0.1"),
+        ("filter_points_polar_grid", lambda: L.by_polar_grid(0.05, 0.3, 0.1, 2.1), f"sqrt(x * x + y * y) BETWEEN 0.05 AND 0.3 AND {turn} <= 2 + 1e-9"),
+        ("filter_points_map", lambda: L.by_map([square]), "x > -0.1 AND x < 0.1 AND y > -0.1 AND y < 0.1"),
+    ):
+        query(name, f"SELECT frame, point_id FROM ({pts}) WHERE {where}")(lambda s, d, p=predicate: S.points(s, d).where(p()).select("frame", "point_id"))
+    query("mask_selected", f"WITH {BOX} SELECT frame, count(*) FILTER (confidence BETWEEN 0.5 AND 1) AS selected, count(*) AS total FROM be GROUP BY frame")(lambda s, d: L.selected(L.mask(S.boxes(s, d, "est"), L.by_confidence(0.5, 1))))
+    query("box_sizes", f"WITH {BOX} SELECT frame, row_idx, round(w * l, 6) AS area, round(w * l * h, 6) AS volume, CAST(rw * rh AS BIGINT) AS roi FROM be")(
+        lambda s, d: neat(S.boxes(s, d, "est").select("frame", "row_idx", G.bev_area().alias("area"), G.volume().alias("volume"), G.roi_area().cast("long").alias("roi")))
+    )
+    turned = "SELECT o_orderkey AS k, o_totalprice / 1000 AS x, CAST(o_custkey % 100 AS DOUBLE) AS y, 2 * 3.141592653589793 * (o_custkey % 360) / 360 AS a FROM orders"
+
+    def turns(s, d, back):
+        half = F.lit(math.pi) * (F.col("o_custkey") % 360) / 360
+        p = P.pose(F.col("o_totalprice") / 1000, (F.col("o_custkey") % 100).cast("double"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.sin(half), F.cos(half))
+        rows = S.table(s, d, "orders").select(F.col("o_orderkey").alias("k"), p.alias("p"))
+        rows = rows.select("k", (P.invert(F.col("p")) if back else P.compose(F.col("p"), F.col("p"))).alias("q"))
+        return neat(rows.select("k", F.col("q.tx").alias("x"), F.col("q.ty").alias("y"), F.abs(F.col("q.qw")).alias("w")))
+
+    query("pose_invert", f"SELECT k, round(-(x * cos(a) + y * sin(a)), 6) AS x, round(x * sin(a) - y * cos(a), 6) AS y, round(abs(cos(a / 2)), 6) AS w FROM ({turned})")(lambda s, d: turns(s, d, True))
+    query("pose_compose", f"SELECT k, round(x + x * cos(a) - y * sin(a), 6) AS x, round(y + x * sin(a) + y * cos(a), 6) AS y, round(abs(cos(a)), 6) AS w FROM ({turned})")(lambda s, d: turns(s, d, False))
+
+    def grouped(s, d):
+        """Matching by class after similar classes became one."""
+        one = LabelRegistry(tuple(CLASSES))
+        few = one.merged({"visit": ["click", "view"]})
+        side = lambda k: S.tracks(s, d, k).withColumn("class", few.decode(one.remap(few, one.encode(F.col("class")))))
+        return verdicts_of(side("est"), side("gt"), Matcher("bev_distance", 20.0)).groupBy("g_class").agg(F.count_if(F.col("status") == 0).alias("hits"), F.count("*").alias("n")).where("g_class IS NOT NULL")
+
+    coarse = GEN.replace("event_type AS class", "CASE WHEN event_type IN ('click', 'view') THEN 'visit' ELSE event_type END AS class")
+    query("grouped_labels", joined(track_pairs("20")).replace(GEN, coarse) + " SELECT gc AS g_class, count(*) FILTER (status = 0) AS hits, count(*) AS n FROM jn WHERE gc IS NOT NULL GROUP BY gc")(grouped)
+
+    def moved_frames(s, d):
+        """Estimates on the ground truth's frames: clocks differ by 3, frames by a running number."""
+        gt, est = S.tracks(s, d, "gt"), S.tracks(s, d, "est")
+        ref = gt.select("frame", (F.col("frame") * 10).alias("t")).distinct()
+        own = est.select((F.col("frame") + 1000000).alias("frame"), (F.col("frame") * 10 + 3).alias("t")).distinct()
+        return A.align(est.withColumn("frame", F.col("frame") + 1000000), A.frame_pairs(ref, own, 5)).select("frame", "row_idx", "class")
+
+    query("align_frames", f"WITH {GEN} SELECT frame, row_idx, class FROM te WHERE frame IN (SELECT frame FROM tg)")(moved_frames)
+    agnostic = Matcher("bev_distance", 15.0, class_agnostic=True)
+    cells = ", ".join(f"CAST(count(*) FILTER (coalesce(ec, 'background') = '{c}') AS BIGINT) AS {c}" for c in [*CLASSES, "background"])
+    query("confusion_as_matrix", f"{joined(track_pairs('15', 'true'))} SELECT a.gt_class, {cells.replace('ec,', 'jn.ec,').replace('count(*)', 'count(jn.frame)')} FROM (SELECT unnest([{', '.join(repr(c) for c in [*CLASSES, 'background'])}]) AS gt_class) a LEFT JOIN jn ON coalesce(jn.gc, 'background') = a.gt_class GROUP BY a.gt_class")(
+        lambda s, d: M.as_matrix(M.confusion(hits(s, d, agnostic), CLASSES), [*CLASSES, "background"])
+    )
+
+
+def verdicts_of(est: DataFrame, gt: DataFrame, m: Matcher) -> DataFrame:
+    return match_join(match(est, gt, m), est, gt)
+
+
 def _ranged(rows: DataFrame) -> DataFrame:
     low = rows.agg(F.min("frame")).first()[0]
     return T.time_range(rows, low + 10, low + 50, open_high=True).select("frame", "row_idx", "class")
 
 
-for _part in (_filters, _masks, _scores, _matching, _metrics, _time, _paths):
+for _part in (_filters, _masks, _scores, _matching, _metrics, _time, _paths, _more):
     _part()
 
 
