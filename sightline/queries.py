@@ -239,14 +239,34 @@ ap AS (SELECT gn.class, coalesce(sum(greatest(v - 0.1, 0)), 0) / 90 / 0.9 AS val
         catalog = Catalog({"/estimation": S.tracks(s, d, "est"), "/ground_truth": S.tracks(s, d, "gt")})
         return neat(Pipeline(average_precision_sweep("/estimation", "/ground_truth", "bev_distance", (10.0, 20.0, 40.0))).run(catalog).get("/metrics/map"))
 
-    query("mean_average_precision")(sweep)
+    each = " UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, * FROM ({ap(str(t))} SELECT class, value, support FROM ap)" for t in (10, 20, 40))
+    query("mean_average_precision", f"WITH a AS ({each}), k AS (SELECT class, avg(value) AS value, max(support) AS support FROM a GROUP BY class) SELECT class, CAST(NULL AS DOUBLE) AS threshold, round(value, 6) AS value, CAST(support AS BIGINT) AS support FROM k UNION ALL SELECT NULL, NULL, round(avg(value), 6), CAST(sum(support) AS BIGINT) FROM k UNION ALL SELECT NULL, threshold, round(avg(value), 6), CAST(sum(support) AS BIGINT) FROM a GROUP BY threshold")(sweep)
 
     def box_hits(s, d):
         est, gt = S.boxes(s, d, "est"), S.boxes(s, d, "gt")
         return match_join(match(est, gt, Matcher("bev_distance", 5.0)), est, gt)
 
-    query("corner_error")(lambda s, d: neat(M.corner_error(box_hits(s, d))))
-    query("heading_flip_rate")(lambda s, d: neat(M.heading_flip_rate(box_hits(s, d))))
+    near = "sqrt((be.x - bg.x) * (be.x - bg.x) + (be.y - bg.y) * (be.y - bg.y))"
+    box_pairs = f"SELECT be.frame, be.row_idx AS e, bg.row_idx AS g, be.confidence, {near} AS score FROM be JOIN bg ON be.frame = bg.frame WHERE be.class = bg.class AND {near} <= 5"
+
+    def over_boxes(error, aggs):
+        hb = f"hb AS (SELECT jn.gc AS class, {error} AS error FROM jn JOIN be ON be.frame = jn.frame AND be.row_idx = jn.est_index JOIN bg ON bg.frame = jn.frame AND bg.row_idx = jn.gt_index WHERE jn.status = 0 AND jn.ec = jn.gc)"
+        return f"{joined(box_pairs, 'be', 'bg')}, {hb} SELECT class, {aggs}, count(*) AS hits FROM hb GROUP BY class UNION ALL SELECT NULL, {aggs}, count(*) FROM hb"
+
+    def corner(b, k):
+        along, across = ((1, 1), (-1, 1), (-1, -1), (1, -1))[k % 4]
+        u, v = f"{along} * {b}.l / 2", f"{across} * {b}.w / 2"
+        return f"({b}.x + {u} * cos({b}.yaw) - {v} * sin({b}.yaw))", f"({b}.y + {u} * sin({b}.yaw) + {v} * cos({b}.yaw))"
+
+    def apart(i, k):
+        (ax, ay), (bx, by) = corner("be", i), corner("bg", i + k)
+        return f"sqrt(({ax} - {bx}) * ({ax} - {bx}) + ({ay} - {by}) * ({ay} - {by}))"
+
+    gaps = "least(" + ", ".join("(" + " + ".join(apart(i, k) for i in range(4)) + ") / 4" for k in range(4)) + ")"
+    wrapped = "(be.yaw - bg.yaw + 3.141592653589793)"
+    flip = f"abs({wrapped} - 6.283185307179586 * floor({wrapped} / 6.283185307179586) - 3.141592653589793)"
+    query("corner_error", over_boxes(gaps, "round(avg(error), 6) AS mean, round(max(error), 6) AS max, round(quantile_cont(error, 0.95), 6) AS p"))(lambda s, d: neat(M.corner_error(box_hits(s, d))))
+    query("heading_flip_rate", over_boxes(flip, "round(avg(CASE WHEN error > 1.5707963267948966 + 1e-9 THEN 1.0 ELSE 0 END), 6) AS value"))(lambda s, d: neat(M.heading_flip_rate(box_hits(s, d))))
     query("average_precision_heading")(lambda s, d: neat(M.average_precision(box_hits(s, d), heading=True)))
     seg = "sg AS (SELECT quality * 2 + toxic AS g, CAST(n_chars % 4 AS INT) AS e FROM labels JOIN documents USING (doc_id))"
     query("segmentation_iou", f"WITH {seg}, k AS (SELECT g AS class FROM sg UNION SELECT e FROM sg), m AS (SELECT class, (SELECT count(*) FROM sg WHERE g = class AND e = class) AS tp, (SELECT count(*) FROM sg WHERE g = class) AS gt, (SELECT count(*) FROM sg WHERE e = class) AS est FROM k), o AS (SELECT class, tp, gt, CAST(tp AS DOUBLE) / nullif(gt + est - tp, 0) AS iou, CAST(tp AS DOUBLE) / nullif(gt, 0) AS accuracy FROM m) SELECT CAST(class AS INT) AS class, round(iou, 6) AS iou, round(accuracy, 6) AS accuracy, CAST(NULL AS DOUBLE) AS pixel_accuracy, CAST(gt AS BIGINT) AS support FROM o UNION ALL SELECT NULL, round(avg(iou), 6), round(avg(accuracy), 6), round(CAST(sum(tp) AS DOUBLE) / sum(gt), 6), CAST(sum(gt) AS BIGINT) FROM o")(lambda s, d: neat(M.segmentation(S.segments(s, d))))
@@ -271,7 +291,12 @@ def _time() -> None:
     query("transform_latest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b ASOF JOIN po ON b.frame + 1 >= po.t")(lambda s, d: moved(s, d, "latest"))
     query("transform_exact", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b JOIN po ON po.t = b.frame + 1")(lambda s, d: moved(s, d, "exact"))
     query("transform_nearest", f"WITH {BOX}, {pose} SELECT b.frame, b.row_idx, {apply_} FROM be b JOIN (SELECT frame, min_by(t, (abs(t - frame - 1), t)) AS pt FROM (SELECT DISTINCT frame FROM be) CROSS JOIN po GROUP BY frame) n ON n.frame = b.frame JOIN po ON po.t = n.pt")(lambda s, d: moved(s, d, "nearest"))
-    query("transform_interpolate")(lambda s, d: moved(s, d, "interpolate"))
+    bent = "(hi.yaw - lo.yaw + 3.141592653589793)"
+    turn = f"lo.yaw + s * ({bent} - 6.283185307179586 * floor({bent} / 6.283185307179586) - 3.141592653589793)"
+    mid = f"""fr AS (SELECT frame, (SELECT max(t) FROM po WHERE t <= frame + 1) AS a, (SELECT min(t) FROM po WHERE t >= frame + 1) AS b FROM (SELECT DISTINCT frame FROM be)),
+sh AS (SELECT frame, coalesce(a, b) AS a, coalesce(b, a) AS b, CASE WHEN a < b THEN (frame + 1 - a) / CAST(b - a AS DOUBLE) ELSE 0 END AS s FROM fr),
+po2 AS (SELECT frame, lo.tx + s * (hi.tx - lo.tx) AS tx, lo.ty + s * (hi.ty - lo.ty) AS ty, {turn} AS yaw FROM sh JOIN po lo ON lo.t = sh.a JOIN po hi ON hi.t = sh.b)"""
+    query("transform_interpolate", f"WITH {BOX}, {pose}, {mid} SELECT b.frame, b.row_idx, {apply_.replace('po.', 'po2.')} FROM be b JOIN po2 ON po2.frame = b.frame")(lambda s, d: moved(s, d, "interpolate"))
 
     def paired(s, d):
         a = S.tracks(s, d, "gt").select((F.col("frame") * 10).alias("t")).distinct()
