@@ -38,8 +38,8 @@ def _bracket(probes: DataFrame, samples: DataFrame, by: list[str]) -> DataFrame:
     whole = F.struct("t", *names)
     both = probes.withColumn("_s", F.lit(None).cast(samples.select(whole.alias("s")).schema["s"].dataType)).unionByName(samples.select(*by, "t", whole.alias("_s")), allowMissingColumns=True)
     order = Window.partitionBy(*by).orderBy("t", F.col("_s").isNull())
-    back = Window.partitionBy(*by).orderBy("t", F.col("_s").isNotNull())
-    both = both.withColumn("low", F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("_s", True).over(back.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*by).orderBy(F.desc("t"), F.col("_s").isNull())  # backwards: frames that end unbounded take quadratic time
+    both = both.withColumn("low", F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("high", F.last("_s", True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     return both.where("_s IS NULL").drop("_s")
 
 
