@@ -56,7 +56,7 @@ def average_precision(joined: DataFrame, classes: list | None = None, heading: b
     running = rank.rowsBetween(Window.unboundedPreceding, 0)
     curve = est.select("class", F.row_number().over(rank).alias("k"), F.sum("hit").over(running).alias("tp"), F.sum("miss").over(running).alias("fp")).join(gt, "class")
     curve = curve.select("class", "k", (F.col("tp") / F.col("gt")).alias("r"), (F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1e-12))).alias("p"))
-    envelope = F.max("p").over(Window.partitionBy("class").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
+    envelope = F.max("p").over(Window.partitionBy("class").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0))
     curve = curve.withColumn("p", envelope)
     order = Window.partitionBy("class").orderBy("k")
     curve = curve.withColumn("r0", F.lag("r").over(order)).withColumn("p0", F.lag("p").over(order)).withColumn("last", F.lead("k").over(order).isNull())
