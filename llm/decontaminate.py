@@ -1,6 +1,6 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of test items are counted over all documents; of each item the rarer part become seeds.
+All n-grams of test items are seeds: those that an edited copy keeps are not known to be rare.
 A document that has several seeds of an item near one diagonal is aligned with the item there; the
 local score, over that of a perfect copy, tells edited copies from chance.  The benchmark is sent to
 the tasks in blocks of bounded size, so a larger one costs more passes, not more memory.
@@ -21,6 +21,8 @@ from llm.common import NO_LETTER, Words, chunks, runs_of, small_batches
 
 #: Test items sent to the tasks at once.
 BLOCK = 20_000
+#: Seed hits looked at in one go (or one document's), so that common seeds do not cost memory.
+HITS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -48,37 +50,6 @@ class Items:
         item = w.row[at][order]
         return Items([i for i, _ in rows], [w.hash[0][i:j] for i, j in zip(cut, cut[1:])], h[order], item, at[order] - cut[item])
 
-    def seeds(self, count: dict[int, int], share: float) -> Items:
-        """The rarest ``share`` of each item's n-grams, by the documents that have them."""
-        df = np.array([count.get(int(h), 0) for h in self.gram.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, df, self.item))
-        begin = runs_of(self.item[order])
-        sizes = np.diff([*begin, len(order)])
-        rank = np.arange(len(order)) - np.repeat(begin, sizes)
-        keep = np.sort(order[rank < np.repeat(np.ceil(sizes * share), sizes)])
-        return Items(self.ids, self.words, self.gram[keep], self.item[keep], self.place[keep])
-
-
-def count_grams(docs: DataFrame, items: Items, n: int) -> dict[int, int]:
-    """In how many documents each n-gram of the block occurs; over all documents."""
-    known = np.unique(items.gram)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known) + 1, np.int64)
-        for batch in batches:
-            for part in chunks(batch):
-                w = _words(part.column("text"))
-                at, h = w.ngrams(n)
-                i = np.searchsorted(known, h)
-                hit = known[np.minimum(i, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                pairs = np.unique(w.row[at[hit]].astype(np.int64) << 32 | i[hit])
-                total[: len(known)] += np.bincount(pairs & 0xFFFFFFFF, minlength=len(known))[: len(known)]
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some].view(np.int64)), pa.array(total[some])], ["gram", "n"])
-
-    got = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return dict(zip(got.column("gram").to_pylist(), got.column("n").to_pylist()))
-
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     """Smith-Waterman scores of pairs of word sequences, all pairs at once along anti-diagonals."""
@@ -117,15 +88,14 @@ def _regions(row: np.ndarray, item: np.ndarray, diag: np.ndarray, place: np.ndar
     return row[begin][seeds], item[begin][seeds], diag[begin][seeds], diag[end - 1][seeds]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, hits: int = 2, rare: float = 0.75, score: float = 0.6, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, hits: int = 2, score: float = 0.6, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
     """(id_col, item_col, score): documents that hold a copy of a test item, edited or not.
 
-    Words are lower-case runs of letters and digits.  An item's seeds are the ``rare`` share of its
-    word ``n``-grams that fewest documents have, whatever those counts are.  ``hits`` different seeds
-    near one diagonal start an alignment (match 2, mismatch and gap -1) over the item and as many
-    words on either side; a document counts from ``score`` times a perfect copy's score on, and gets
-    the best score of each item.  Items of fewer than ``least`` words are too short to tell from
-    chance and match nothing.
+    Words are lower-case runs of letters and digits.  An item's seeds are all its word ``n``-grams,
+    common ones too.  ``hits`` different seeds near one diagonal start an alignment (match 2, mismatch
+    and gap -1) over the item and as many words on either side; a document counts from ``score`` times
+    a perfect copy's score on, and gets the best score of each item.  Items of fewer than ``least``
+    words are too short to tell from chance and match nothing.
 
     Null and empty texts match nothing; null ids are kept; rows with one id get one result an item,
     the best; other columns are ignored; empty tables give none.
@@ -143,8 +113,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, hits: int =
         items = Items.of(sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0] is None, r)), n, least)
         if not len(items.gram):
             continue
-        seeds = items.seeds(count_grams(docs, items, n), rare)
-        one = docs.mapInArrow(_search(seeds, n, hits, score, schema_of(id_type, items)), schema)
+        one = docs.mapInArrow(_search(items, n, hits, score, schema_of(id_type, items)), schema)
         found = one if found is None else found.unionAll(one)
     if found is None:
         found = spark.createDataFrame([], schema)
@@ -155,33 +124,30 @@ def schema_of(id_type, items: Items) -> pa.DataType:
     return pa.string() if any(isinstance(i, str) for i in items.ids) else pa.int64()
 
 
-def _search(seeds: Items, n: int, hits: int, score: float, item_type: pa.DataType):
+def _search(items: Items, n: int, hits: int, score: float, item_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.array([len(w) for w in seeds.words])
-        many = np.append(runs_of(seeds.gram), len(seeds.gram))
-        known, number = seeds.gram[many[:-1]], np.diff(many)
-        need = np.minimum(hits, np.bincount(seeds.item, minlength=len(sizes)))
+        sizes = np.array([len(w) for w in items.words])
+        many = np.append(runs_of(items.gram), len(items.gram))
+        known, number = items.gram[many[:-1]], np.diff(many)
+        need = np.minimum(hits, np.bincount(items.item, minlength=len(sizes)))
         for batch in batches:
             for part in chunks(batch):
                 w = _words(part.column("text"))
                 cut, (at, h) = w.bounds(), w.ngrams(n)
                 i = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 ok = np.flatnonzero(known[i] == h)
-                each = number[i[ok]]
-                at = np.repeat(at[ok], each)
-                which = np.repeat(many[i[ok]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                item, place, row = seeds.item[which], seeds.place[which], w.row[at]
-                regions = _regions(row, item, at - cut[row] - place, place, sizes, int(need.min()) if len(need) else hits)
+                i, at = i[ok], at[ok]
+                regions = [_regions(*hit, sizes, int(need.min()) if len(need) else hits) for hit in _hits(items, many, number, i, at, w.row, cut)]
                 rows, its, best = [], [], []
-                todo = [(r, t, c) for r, t, lo, hi in zip(*regions) for c in _windows(w.hash[0][cut[r] : cut[r + 1]], int(lo), int(hi), int(sizes[t]))]
+                todo = [(r, t, c) for found in regions for r, t, lo, hi in zip(*found) for c in _windows(w.hash[0][cut[r] : cut[r + 1]], int(lo), int(hi), int(sizes[t]))]
                 todo.sort(key=lambda x: sizes[x[1]])
                 for j in range(0, len(todo), 256):
                     some = todo[j : j + 256]
-                    got = align([c for _, _, c in some], [seeds.words[t] for _, t, _ in some]) / (MATCH * sizes[[t for _, t, _ in some]])
+                    got = align([c for _, _, c in some], [items.words[t] for _, t, _ in some]) / (MATCH * sizes[[t for _, t, _ in some]])
                     for (r, t, _), s in zip(some, got):
                         if s >= score:
                             rows.append(r)
-                            its.append(seeds.ids[t])
+                            its.append(items.ids[t])
                             best.append(float(s))
                 if rows:
                     yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(rows)), pa.array(its, item_type), pa.array(best)], ["id", "item", "score"])
@@ -189,6 +155,20 @@ def _search(seeds: Items, n: int, hits: int, score: float, item_type: pa.DataTyp
     return run
 
 
+def _hits(items: Items, many: np.ndarray, number: np.ndarray, i: np.ndarray, at: np.ndarray, row: np.ndarray, cut: np.ndarray) -> Iterator[tuple]:
+    """(row, item, diagonal, place) of seed hits, some whole documents at a time."""
+    total = np.append(0, np.cumsum(number[i]))
+    ends = np.append(runs_of(row[at])[1:], len(at))
+    j = 0
+    while j < len(at):
+        k = int(ends[max(np.searchsorted(ends, j, side="right"), np.searchsorted(total[ends], total[j] + HITS, side="right") - 1)])
+        each = number[i[j:k]]
+        which = np.repeat(many[i[j:k]], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        here = np.repeat(at[j:k], each)
+        yield row[here], items.item[which], here - cut[row[here]] - items.place[which], items.place[which]
+        j = k
+
+
 def _windows(words: np.ndarray, lo: int, hi: int, size: int) -> Iterator[np.ndarray]:
     """The words around diagonals lo to hi, in overlapping pieces that hold any whole copy."""
     begin, end = max(0, lo - size // 2), min(len(words), hi + size + size // 2)

@@ -81,3 +81,20 @@ def test_held_out(spark):
     by = got.groupby("grade").keep.mean()
     print(by, len(got))
     assert by[0] < 0.05 and by[1] < 0.15 and by[2] > 0.98  # about 3000 graded rows to learn from
+
+
+def test_leaks_with_every_fourth_word_replaced(spark):
+    rng = random.Random(5)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(900)]
+    items = [(i, [rng.choice(vocab) for _ in range(k)]) for i, k in enumerate((15, 20, 30, 45, 59))]
+    rows, want = [], set()
+    for i, words in items:
+        for d in (10 * i, 10 * i + 1):
+            copy = ["edit" if k % 4 == 3 else x for k, x in enumerate(words)]
+            rows.append((d, " ".join([rng.choice(vocab) for _ in range(40)] + copy + [rng.choice(vocab) for _ in range(40)])))
+            assert plain(words, copy) >= 0.6 * MATCH * len(words)
+            want.add((d, i))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for block in (100, 2):
+        assert {(r.doc_id, r.item_id) for r in decontaminate(df, tests, block=block).collect()} == want
