@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,47 @@ def test_licenses(spark):
 def test_licenses_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, Q.op9_license_scan(spark, SF).collect())) == brute_licenses(map(tuple, docs))
+
+
+def brute_runs(t, dice=0.8):
+    """The rows of runs of words, from all runs of a text; a run counts as no shorter than the template."""
+    lines, grams = t.lower().split("\n"), {k: set(bigrams_of(v)) for k, v in TEMPLATES.items()}
+    near = lambda x, k: (b := set(bigrams_of(x))) and 2 * len(b & grams[k]) / (len(b) + len(grams[k])) >= dice
+    if len(lines) > 1 and any(near(t, k) for k in TEMPLATES):
+        return []
+    w, out = [(x, i) for i, line in enumerate(lines) for x in words_of(line)], []
+    g = [f"{a[0]} {b[0]}" for a, b in zip(w, w[1:])]
+    for k, want in grams.items():
+        runs = []
+        for a in range(len(g)):
+            have = set()
+            for b in range(a, min(len(g), a + int(len(want) * (2 - dice) / dice + 1e-9))):
+                have.add(g[b])
+                if {g[a], g[b]} <= want and (d := 2 * len(have & want) / (max(len(have), len(want)) + len(want))) >= dice:
+                    runs.append((-d, a, b))
+        got = []
+        for d, a, b in sorted(runs):
+            if all(b + 1 < x or y + 1 < a for _, x, y in got):
+                got.append((d, a, b))
+        for d, a, b in got:
+            i, j = w[a][1], w[b + 1][1]
+            if not (i == j and any(near(lines[i], x) for x in TEMPLATES)) and not any(near(x, k) for x in lines[i : j + 1]):
+                out.append((k, i, -d))
+    return sorted(out)
+
+
+def test_licenses_in_runs_of_words(spark):
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 78))
+    code = "\n".join(f"def f{i}(x): return x + {i}" for i in range(40))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap(TEMPLATES["MIT-text"]),
+        wrap(TEMPLATES["Apache-2.0-notice"]) + "\n\n" + code,
+        "We thank everyone. Licensed under the Apache License, Version 2.0. All rights reserved by the authors of this page.",
+        code + "\n" + wrap(" ".join(w for i, w in enumerate(TEMPLATES["GPL-3.0-notice"].split()) if i % 15)) + "\n" + code + "\n" + wrap(TEMPLATES["GPL-3.0-notice"]),
+        code + "\n" + wrap(TEMPLATES["BSD-3-Clause-text"]) + "\n" + code,
+    ]
+    got = sorted(map(tuple, license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert got == sorted(brute_licenses(enumerate(texts)) + [(d, *r) for d, t in enumerate(texts) for r in brute_runs(t)])
+    names = {(d, k) for d, k, _, _ in got}
+    assert {(0, "MIT-text"), (1, "Apache-2.0-notice"), (2, "Apache-2.0"), (3, "GPL-3.0-notice"), (4, "BSD-3-Clause-text")} <= names
+    assert sum(d == 3 and k == "GPL-3.0-notice" for d, k, _, _ in got) == 2
