@@ -154,21 +154,22 @@ def _masks() -> None:
 
 
 def _scores() -> None:
-    def score(f, s, d):
-        rows = sides(S.boxes(s, d, "est").where("frame % 20 = 0"), S.boxes(s, d, "gt")).where("e_class = g_class")
+    def score(f, s, d, where="true"):
+        rows = sides(S.boxes(s, d, "est").where(where), S.boxes(s, d, "gt")).where("e_class = g_class")
         return neat(rows.select("frame", F.col("e_row_idx").alias("e"), F.col("g_row_idx").alias("g"), f("e_", "g_").alias("score")))
 
     def sql(expr):
         return f"WITH {BOX} SELECT be.frame, be.row_idx AS e, bg.row_idx AS g, round({expr}, 6) AS score FROM be JOIN bg ON be.frame = bg.frame AND be.class = bg.class WHERE be.frame % 20 = 0"
 
+    some = "frame % 20 = 0"  # as their SQL says
     dx = "+".join(f"(be.{k} - bg.{k}) * (be.{k} - bg.{k})" for k in "xyz")
     over = lambda a, n: f"greatest(0.0, least(be.{a} + be.{n}, bg.{a} + bg.{n}) - greatest(be.{a}, bg.{a}))"
     inter = f"({over('rx', 'rw')} * {over('ry', 'rh')})"
     high = "greatest(0.0, least(be.z + be.h / 2, bg.z + bg.h / 2) - greatest(be.z - be.h / 2, bg.z - bg.h / 2))"
-    query("score_center_distance", sql(f"sqrt({dx})"))(lambda s, d: score(G.center_distance, s, d))
-    query("score_center_distance_bev", sql("sqrt((be.x - bg.x) * (be.x - bg.x) + (be.y - bg.y) * (be.y - bg.y))"))(lambda s, d: score(G.bev_distance, s, d))
-    query("score_height_overlap", sql(high))(lambda s, d: score(G.height_overlap, s, d))
-    query("score_iou_roi", sql(f"{inter} / (be.rw * be.rh + bg.rw * bg.rh - {inter})"))(lambda s, d: score(G.roi_iou, s, d))
+    query("score_center_distance", sql(f"sqrt({dx})"))(lambda s, d: score(G.center_distance, s, d, some))
+    query("score_center_distance_bev", sql("sqrt((be.x - bg.x) * (be.x - bg.x) + (be.y - bg.y) * (be.y - bg.y))"))(lambda s, d: score(G.bev_distance, s, d, some))
+    query("score_height_overlap", sql(high))(lambda s, d: score(G.height_overlap, s, d, some))
+    query("score_iou_roi", sql(f"{inter} / (be.rw * be.rh + bg.rw * bg.rh - {inter})"))(lambda s, d: score(G.roi_iou, s, d, some))
     query("score_iou_bev")(lambda s, d: score(G.bev_iou, s, d))
     query("score_iou_3d")(lambda s, d: score(G.volume_iou, s, d))
     query("score_plane_distance")(lambda s, d: score(G.plane_distance, s, d))
