@@ -62,6 +62,10 @@ class LabelRegistry:
             raise KeyError(f"classes without a counterpart: {lost}")
         return F.when(class_id < 0, class_id).otherwise(F.get(F.array(*(F.lit(there.get(n, UNKNOWN)) for n in self.names)), class_id))
 
+    def remap_image(self, target: LabelRegistry, image: Column, missing: str = "error") -> Column:
+        """Every pixel of a label image by :meth:`remap`."""
+        return F.transform(image, lambda row: F.transform(row, lambda c: self.remap(target, c, missing)))
+
     def fingerprint(self) -> str:
         return hashlib.sha256(self.to_json().encode()).hexdigest()
 

@@ -22,6 +22,7 @@ def rotate(q: Column, x: Column, y: Column, z: Column) -> tuple[Column, Column,
 
 
 def multiply(p: Column, q: Column) -> tuple[Column, ...]:
+    """The rotation ``q``, then ``p``."""
     return (
         p.qw * q.qx + p.qx * q.qw + p.qy * q.qz - p.qz * q.qy,
         p.qw * q.qy - p.qx * q.qz + p.qy * q.qw + p.qz * q.qx,
@@ -30,6 +31,10 @@ def multiply(p: Column, q: Column) -> tuple[Column, ...]:
     )
 
 
+def yaw(qx: Column, qy: Column, qz: Column, qw: Column) -> Column:
+    return F.atan2(2 * (qw * qz + qx * qy), 1 - 2 * (qy * qy + qz * qz))
+
+
 def compose(p: Column, q: Column) -> Column:
     """First ``q``, then ``p``."""
     x, y, z = rotate(p, q.tx, q.ty, q.tz)

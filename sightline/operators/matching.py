@@ -1,11 +1,13 @@
 """One-to-one matching of estimates with ground truth, frame by frame.
 
-Pairs are an equi-join on the frame; the score and the gates are columns.  Greedy assignment is a
-fold over the frame's feasible pairs inside Catalyst; optimal assignment runs on Arrow groups.
+Pairs are an equi-join on the frame (of a recording), the class where classes must agree, and for
+distances a slab as wide as the threshold; the score and the gates are columns.  Greedy assignment
+is a fold over the frame's feasible pairs inside Catalyst; optimal assignment runs on Arrow groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import geometry as G
+from sightline.functions.keys import frame_key, require
 
 TP, FP, FN = 0, 1, 2
 #: Score, whether larger is better, default threshold.
@@ -24,52 +27,91 @@ SCORES = {
     "iou_3d": (G.volume_iou, True, 0.5),
     "iou_roi": (G.roi_iou, True, 0.5),
 }
+#: Scores that need a rotation, and those that bound the distance along x.
+TURNED, NEAR = ("plane_distance", "iou_bev", "iou_3d"), ("center_distance", "bev_distance")
 
 
 @dataclass(frozen=True)
 class Matcher:
-    """What makes a pair feasible.  Thresholds go by the ground truth's class."""
+    """What makes a pair feasible.  Thresholds go by the ground truth's class.
 
-    score: str = "center_distance"
+    ``score`` is one of ``SCORES`` or a function of the prefixes of both sides that returns a
+    column; then ``larger`` says which way is better and ``threshold`` must be given.
+    """
+
+    score: str | Callable[[str, str], Column] = "center_distance"
     threshold: float | None = None
     by_class: dict = field(default_factory=dict)
     class_agnostic: bool = False
     agnostic_classes: tuple = ()
     max_distance: float | None = None
-    assignment: str = "greedy"
+    assignment: str = "optimal"
+    larger: bool | None = None
+    check_frames: bool = True
 
     def __post_init__(self):
-        if self.score not in SCORES or self.assignment not in ("greedy", "optimal"):
+        if self.assignment not in ("greedy", "optimal") or not callable(self.score) and self.score not in SCORES:
             raise ValueError("unknown score or assignment")
-        larger = SCORES[self.score][1]
+        if callable(self.score) and (self.larger is None or self.threshold is None):
+            raise ValueError("a score of one's own needs `larger` and a threshold")
         for t in (self.limit, *self.by_class.values()):
-            if t <= 0 or larger and t > 1:
+            if not callable(self.score) and (t <= 0 or self.better and t > 1):
                 raise ValueError(f"threshold {t} is out of range")
         if self.class_agnostic and self.agnostic_classes:
             raise ValueError("all classes are agnostic already")
 
+    @property
+    def better(self) -> bool:
+        """Whether larger scores are better."""
+        return self.larger if callable(self.score) else SCORES[self.score][1]
+
     @property
     def limit(self) -> float:
         return SCORES[self.score][2] if self.threshold is None else self.threshold
 
+    @property
+    def reach(self) -> float | None:
+        """The largest distance along x of a pair, where there is one."""
+        widest = [max([self.limit, *self.by_class.values()])] if self.score in NEAR else []
+        return min([*widest, *([] if self.max_distance is None else [self.max_distance])], default=None)
+
     def threshold_of(self, label: Column) -> Column:
         out = F.lit(float(self.limit))
         for k, t in sorted(self.by_class.items()):
             out = F.when(label == k, float(t)).otherwise(out)
         return out
 
+    def measure(self, est: DataFrame, gt: DataFrame) -> Column:
+        """The score of a pair; footprints follow the whole rotation where both sides have one."""
+        if callable(self.score):
+            return self.score("e_", "g_")
+        full = all({"qx", "qy", "qz", "qw"} <= set(t.columns) for t in (est, gt))
+        return SCORES[self.score][0]("e_", "g_", full) if self.score in TURNED and full else SCORES[self.score][0]("e_", "g_")
 
-def sides(est: DataFrame, gt: DataFrame) -> DataFrame:
-    """All pairs of a frame, columns prefixed e_ and g_."""
-    e = est.select("frame", *(F.col(c).alias(f"e_{c}") for c in est.columns if c != "frame"))
-    g = gt.select("frame", *(F.col(c).alias(f"g_{c}") for c in gt.columns if c != "frame"))
-    return e.join(g, "frame")
+
+def side(rows: DataFrame, prefix: str, key: list[str]) -> DataFrame:
+    return rows.select(*key, *(F.col(c).alias(prefix + c) for c in rows.columns if c not in key))
+
+
+def sides(est: DataFrame, gt: DataFrame, reach: float | None = None) -> DataFrame:
+    """All pairs of a frame (with ``reach``: a superset of those so near along x), prefixed e_ and g_."""
+    key = frame_key(est, gt)
+    e, g = side(est, "e_", key), side(gt, "g_", key)
+    if reach is None or not np.isfinite(reach):
+        return e.join(g, key)
+    slab = lambda c: F.floor(F.col(c) / (reach * (1 + 1e-9))).cast("long")
+    e = e.withColumn("_slab", F.explode(F.array(*(slab("e_x") + k for k in (-1, 0, 1)))))
+    return e.join(g.withColumn("_slab", slab("g_x")), [*key, "_slab"]).drop("_slab")
 
 
 def feasible(est: DataFrame, gt: DataFrame, m: Matcher) -> DataFrame:
-    """(frame, e, g, confidence, score) of pairs that may be matched."""
-    measure, larger, _ = SCORES[m.score]
-    pairs = sides(est, gt)
+    """(frame, e, g, confidence, score) of pairs that may be matched.
+
+    Pairs whose sides state different coordinate frames (``frame_id``) raise.
+    """
+    for rows in (est, gt):
+        require(rows, "row_idx", "class")
+    pairs = sides(est, gt, m.reach)
     same = F.col("e_class") == F.col("g_class")
     if m.agnostic_classes:
         same = same | (F.col("e_class").isin(list(m.agnostic_classes)) & F.col("g_class").isin(list(m.agnostic_classes)))
@@ -78,17 +120,27 @@ def feasible(est: DataFrame, gt: DataFrame, m: Matcher) -> DataFrame:
     if m.max_distance is not None:
         pairs = pairs.where(G.center_distance("e_", "g_") <= m.max_distance)
     limit = m.threshold_of(F.col("g_class"))
+    measure = m.measure(est, gt)
+    if m.check_frames and "frame_id" in est.columns and "frame_id" in gt.columns:
+        measure = F.when(F.col("e_frame_id") != F.col("g_frame_id"), F.raise_error(F.lit("pairs across coordinate frames")).cast("double")).otherwise(measure)
     score = F.col("score")
-    ok = ~F.isnan(score) & (score >= limit if larger else score <= limit)
-    rows = pairs.withColumn("score", measure("e_", "g_")).where(ok)
-    return rows.select("frame", F.col("e_row_idx").alias("e"), F.col("g_row_idx").alias("g"), F.col("e_confidence").alias("confidence"), "score")
+    ok = ~F.isnan(score) & (score >= limit if m.better else score <= limit)
+    rows = pairs.withColumn("score", measure).where(ok)
+    sure = F.col("e_confidence") if "confidence" in est.columns else F.lit(None).cast("double")
+    if m.assignment == "greedy":
+        require(est, "confidence")
+    return rows.select(*frame_key(est, gt), F.col("e_row_idx").alias("e"), F.col("g_row_idx").alias("g"), sure.alias("confidence"), "score")
 
 
-def assign_greedy(pairs: DataFrame, larger: bool) -> DataFrame:
-    """Surest estimate first (then the later row); each takes its best free partner (then the earlier row)."""
+def assign_greedy(pairs: DataFrame, larger: bool, key: list[str] | None = None) -> DataFrame:
+    """Surest estimate first (then the later row); each takes its best free partner (then the earlier row).
+
+    Estimates without a confidence come last.
+    """
+    key = key or frame_key(pairs)
     cost = -F.col("score") if larger else F.col("score")
-    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("e")).alias("n"), cost.alias("s"), F.col("g").alias("g"))
-    grouped = pairs.groupBy("frame").agg(F.array_sort(F.collect_list(order)).alias("pairs"))
+    order = F.struct(F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("c"), (-F.col("e")).alias("n"), cost.alias("s"), F.col("g").alias("g"))
+    grouped = pairs.groupBy(*key).agg(F.array_sort(F.collect_list(order)).alias("pairs"))
     start = F.expr("named_struct('e', CAST(array() AS array<bigint>), 'g', CAST(array() AS array<bigint>), 's', CAST(array() AS array<double>))")
 
     def step(got: Column, p: Column) -> Column:
@@ -96,9 +148,9 @@ def assign_greedy(pairs: DataFrame, larger: bool) -> DataFrame:
         more = F.struct(F.concat(got.e, F.array(-p.n)).alias("e"), F.concat(got.g, F.array(p.g)).alias("g"), F.concat(got.s, F.array(p.s)).alias("s"))
         return F.when(free, more).otherwise(got)
 
-    taken = grouped.select("frame", F.aggregate("pairs", start, step).alias("t"))
-    rows = taken.select("frame", F.explode(F.arrays_zip("t.e", "t.g", "t.s")).alias("r"))
-    return rows.select("frame", F.col("r.e").alias("e"), F.col("r.g").alias("g"), (-F.col("r.s") if larger else F.col("r.s")).alias("score"))
+    taken = grouped.select(*key, F.aggregate("pairs", start, step).alias("t"))
+    rows = taken.select(*key, F.explode(F.arrays_zip("t.e", "t.g", "t.s")).alias("r"))
+    return rows.select(*key, F.col("r.e").alias("e"), F.col("r.g").alias("g"), (-F.col("r.s") if larger else F.col("r.s")).alias("score"))
 
 
 def solve(cost: np.ndarray) -> np.ndarray:
@@ -133,8 +185,9 @@ def solve(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign_optimal(pairs: DataFrame, larger: bool) -> DataFrame:
+def assign_optimal(pairs: DataFrame, larger: bool, key: list[str] | None = None) -> DataFrame:
     """As many pairs as possible, then the least total cost; a frame is solved in one group."""
+    key = key or frame_key(pairs)
 
     def run(pdf):
         es, e = np.unique(pdf.e, return_inverse=True)
@@ -151,35 +204,52 @@ def assign_optimal(pairs: DataFrame, larger: bool) -> DataFrame:
         ok = full[a, b] < pad
         a, b = a[ok], b[ok]
         value = full[a, b] + low
-        return type(pdf)({"frame": pdf.frame.iloc[0], "e": es[a], "g": gs[b], "score": -value if larger else value})
+        return type(pdf)({**{k: pdf[k].iloc[0] for k in key}, "e": es[a], "g": gs[b], "score": -value if larger else value})
+
+    rows = pairs.select(*key, "e", "g", "score")
+    return rows.groupBy(*key).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema))
+
+
+def assign(pairs: DataFrame, m: Matcher, key: list[str] | None = None) -> DataFrame:
+    return (assign_greedy if m.assignment == "greedy" else assign_optimal)(pairs, m.better, key)
 
-    return pairs.select("frame", "e", "g", "score").groupBy("frame").applyInPandas(run, "frame long, e long, g long, score double")
+
+def verdicts(est: DataFrame, gt: DataFrame, got: DataFrame, m: Matcher, extra: tuple = ()) -> DataFrame:
+    """Every row of both sides once, with the columns of both (e_, g_), given the pairs ``got(e, g, score)``."""
+    key = [*frame_key(est, gt), *extra]
+    e, g = side(est, "e_", key), side(gt, "g_", key)
+    found = e.join(got.withColumnRenamed("e", "e_row_idx"), [*key, "e_row_idx"], "left").join(g.withColumn("g", F.col("g_row_idx")), [*key, "g"], "full")
+    est_index, gt_index = F.coalesce("e_row_idx", F.lit(-1)), F.coalesce("g_row_idx", F.lit(-1))
+    status = F.when(F.col("e_row_idx").isNull(), FN).when(F.col("g_row_idx").isNull(), FP).otherwise(TP)
+    limit = m.threshold_of(F.coalesce("g_class", "e_class"))
+    hit = (status == TP) & (F.col("e_class") == F.col("g_class"))
+    return found.select(*key, est_index.alias("est_index"), gt_index.alias("gt_index"), "score", status.alias("status"), limit.alias("threshold"), F.coalesce(hit, F.lit(False)).alias("label_correct"), *(c for c in e.columns + g.columns if c not in key))
+
+
+def evaluate(est: DataFrame, gt: DataFrame, m: Matcher = Matcher()) -> DataFrame:
+    """:func:`match` and :func:`match_join` in one plan: verdicts with the columns of both sides."""
+    return verdicts(est, gt, assign(feasible(est, gt, m), m), m)
 
 
 def match(est: DataFrame, gt: DataFrame, m: Matcher = Matcher()) -> DataFrame:
     """(frame, est_index, gt_index, score, status, threshold): every row of both sides once.
 
     Unmatched sides have index -1 and no score.  Threshold: the ground truth's class's, for a lone
-    estimate its own class's.
+    estimate its own class's.  Tables of several recordings have a column ``recording``.
     """
-    larger = SCORES[m.score][1]
-    pairs = feasible(est, gt, m)
-    got = (assign_greedy if m.assignment == "greedy" else assign_optimal)(pairs, larger)
-    e = est.select("frame", F.col("row_idx").alias("e"), F.col("class").alias("ec"))
-    g = gt.select("frame", F.col("row_idx").alias("g"), F.col("class").alias("gc"))
-    both = e.join(got, ["frame", "e"], "left")
-    found = both.join(g, ["frame", "g"], "full")
-    status = F.when(F.col("e").isNull(), FN).when(F.col("score").isNull(), FP).otherwise(TP)
-    limit = m.threshold_of(F.coalesce("gc", "ec"))
-    return found.select("frame", F.coalesce("e", F.lit(-1)).alias("est_index"), F.when(F.col("e").isNull() | F.col("score").isNotNull(), F.col("g")).otherwise(-1).alias("gt_index"), "score", status.alias("status"), limit.alias("threshold"))
+    return evaluate(est, gt, m).select(*frame_key(est, gt), "est_index", "gt_index", "score", "status", "threshold")
 
 
 def match_join(matches: DataFrame, est: DataFrame, gt: DataFrame) -> DataFrame:
-    """Verdicts with the columns of both sides, prefixed e_ and g_; an index without a row raises."""
-    e = est.select("frame", *(F.col(c).alias(f"e_{c}") for c in est.columns if c != "frame"))
-    g = gt.select("frame", *(F.col(c).alias(f"g_{c}") for c in gt.columns if c != "frame"))
-    e, g = e.withColumn("est_index", F.col("e_row_idx")), g.withColumn("gt_index", F.col("g_row_idx"))
-    out = matches.join(e, ["frame", "est_index"], "left").join(g, ["frame", "gt_index"], "left")
+    """Stored verdicts with the columns of both sides, prefixed e_ and g_; an index without a row raises."""
+    key = frame_key(matches, est, gt)
+    e, g = side(est, "e_", key).withColumn("est_index", F.col("e_row_idx")), side(gt, "g_", key).withColumn("gt_index", F.col("g_row_idx"))
+    out = matches.join(e, [*key, "est_index"], "left").join(g, [*key, "gt_index"], "left")
     lost = ((F.col("est_index") >= 0) & F.col("e_row_idx").isNull()) | ((F.col("gt_index") >= 0) & F.col("g_row_idx").isNull())
     out = out.withColumn("status", F.when(lost, F.raise_error(F.lit("a match points to no row")).cast("int")).otherwise(F.col("status")))
-    return out.withColumn("label_correct", (F.col("status") == TP) & (F.col("e_class") == F.col("g_class")))
+    return out.withColumn("label_correct", F.coalesce((F.col("status") == TP) & (F.col("e_class") == F.col("g_class")), F.lit(False)))
+
+
+def counts(matches: DataFrame) -> DataFrame:
+    """(tp, fp, fn) of verdicts."""
+    return matches.agg(*(F.count_if(F.col("status") == s).alias(n) for s, n in ((TP, "tp"), (FP, "fp"), (FN, "fn"))))

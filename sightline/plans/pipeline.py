@@ -8,8 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.keys import frame_key
 from sightline.operators import metrics
-from sightline.operators.matching import Matcher, match, match_join
+from sightline.operators.matching import SCORES, Matcher, assign, evaluate, feasible, verdicts
+from sightline.sources.scratch import stored
 
 
 @dataclass
@@ -78,11 +80,20 @@ def _clean(path: str) -> str:
 
 @dataclass(frozen=True)
 class Step:
-    """``run`` gets the entities at ``reads`` and its result goes to ``writes``."""
+    """``run`` gets the entities at ``reads`` and its result goes to ``writes``.
+
+    A ``kept`` result is written to a table once, for results that several steps read.  ``adds`` are
+    columns that the result has besides those of its first input, less ``drops``; ``needs`` are
+    columns that inputs must have, by place.  Both are checked before anything runs.
+    """
 
     writes: str
     reads: tuple[str, ...]
     run: Callable[..., DataFrame]
+    kept: bool = False
+    adds: tuple[str, ...] | None = None
+    drops: tuple[str, ...] = ()
+    needs: tuple[tuple[str, ...], ...] = ()
 
 
 class Pipeline:
@@ -90,34 +101,64 @@ class Pipeline:
         targets = [_clean(s.writes) for s in steps]
         if len(set(targets)) != len(targets):
             raise ValueError("two steps write one entity")
+        for i, step in enumerate(steps):
+            if late := [r for r in step.reads if _clean(r) in targets[i:]]:
+                raise ValueError(f"{step.writes} reads what only a later step writes: {late}")
         self.steps = steps
 
     def check(self, catalog: Catalog) -> None:
-        """An input that neither the catalog nor an earlier step gives raises before anything runs."""
-        known = set(catalog.entities)
+        """An input, or a column of one, that neither the catalog nor an earlier step gives raises before anything runs."""
+        known: dict[str, set[str] | None] = {p: set(rows.columns) for p, rows in catalog.entities.items()}
         for step in self.steps:
             if lost := [r for r in step.reads if _clean(r) not in known]:
                 raise KeyError(f"{step.writes} reads what is not there: {lost}")
-            known.add(_clean(step.writes))
+            for path, columns in zip(step.reads, step.needs):
+                has = known[_clean(path)]
+                if has is not None and (lost := sorted(set(columns) - has)):
+                    raise KeyError(f"{step.writes} needs columns that {path} lacks: {lost}")
+            first = known[_clean(step.reads[0])] if step.reads else None
+            known[_clean(step.writes)] = None if step.adds is None or first is None else (first | set(step.adds)) - set(step.drops)
 
     def run(self, catalog: Catalog) -> Catalog:
         self.check(catalog)
         for step in self.steps:
-            catalog.put(step.writes, step.run(*map(catalog.get, step.reads)))
+            rows = step.run(*map(catalog.get, step.reads))
+            catalog.put(step.writes, stored(rows, "step") if step.kept else rows)
         return catalog
 
 
 def matching_step(est: str, gt: str, matcher: Matcher, target: str = "/matching") -> list[Step]:
-    return [Step(target, (est, gt), lambda e, g: match(e, g, matcher)), Step(f"{target}/joined", (target, est, gt), match_join)]
+    """Verdicts with the columns of both sides, written once at ``target``/joined, and alone at ``target``."""
+    joined = Step(f"{target}/joined", (est, gt), lambda e, g: evaluate(e, g, matcher), True, needs=(("row_idx", "class"), ("row_idx", "class")))
+    plain = Step(target, (f"{target}/joined",), lambda j: j.select(*frame_key(j), "est_index", "gt_index", "score", "status", "threshold"))
+    return [joined, plain]
+
+
+def sweep(est: DataFrame, gt: DataFrame, score: str = "center_distance", thresholds: tuple = (1.0,), **options) -> DataFrame:
+    """Verdicts at each of ``thresholds`` (column ``threshold``); every pair is scored once.
+
+    A pair takes part in the assignment of each threshold that it meets: cutting the matches of the
+    loosest one later would differ.
+    """
+    larger = SCORES[score][1]
+    options.setdefault("assignment", "greedy")
+    m = Matcher(score, (min if larger else max)(thresholds), **options)
+    cuts = F.array(*(F.lit(float(t)) for t in thresholds))
+    met = F.filter(cuts, lambda t: F.col("score") >= t if larger else F.col("score") <= t)
+    pairs = feasible(est, gt, m).withColumn("cut", F.explode(met))
+    got = assign(pairs, m, [*frame_key(est, gt), "cut"])
+    both = verdicts(est.withColumn("cut", F.explode(cuts)), gt.withColumn("cut", F.explode(cuts)), got, m, ("cut",))
+    return both.withColumn("threshold", F.col("cut")).drop("cut")
 
 
 def average_precision_sweep(est: str, gt: str, score: str = "center_distance", thresholds: tuple = (1.0,), heading: bool = False, classes: list | None = None, **options) -> list[Step]:
-    """A matching and an AP table for each threshold, and their means; a loose match cut later differs."""
-    steps, aps = [], []
-    for i, t in enumerate(thresholds):
-        steps += matching_step(est, gt, Matcher(score, t, **options), f"/matching/{score}/{i}")
-        kind = "aph" if heading else "ap"
-        steps.append(Step(f"/metrics/{kind}/{i}", (f"/matching/{score}/{i}/joined",), lambda j: metrics.average_precision(j, classes, heading)))
-        aps.append(f"/metrics/{kind}/{i}")
-    steps.append(Step("/metrics/maph" if heading else "/metrics/map", tuple(aps), lambda *t: metrics.mean_average_precision(list(zip(thresholds, t)))))
+    """Verdicts, AP by threshold (with ``heading`` APH too), and their means."""
+    at = f"/matching/{score}"
+    steps = [Step(at, (est, gt), lambda e, g: sweep(e, g, score, thresholds, **options), True, needs=(("row_idx", "class"), ("row_idx", "class")))]
+    for turn in (False, True)[: 1 + heading]:
+        kind = "aph" if turn else "ap"
+        steps.append(Step(f"/metrics/{kind}", (at,), lambda j, turn=turn: metrics.average_precision(j, classes, turn, by=("threshold",)), True))
+        for i, t in enumerate(thresholds):
+            steps.append(Step(f"/metrics/{kind}/{i}", (f"/metrics/{kind}",), lambda a, t=t: a.where(F.col("threshold") == float(t)).drop("threshold")))
+        steps.append(Step(f"/metrics/m{kind}", (f"/metrics/{kind}",), metrics.mean_average_precision))
     return steps

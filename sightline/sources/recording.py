@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from sightline.functions.labels import LabelRegistry
 
@@ -16,12 +17,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def write_recording(entities: dict[str, DataFrame], path: str, labels: LabelRegistry | None = None, metadata: dict | None = None) -> None:
+def write_recording(entities: dict[str, DataFrame], path: str, labels: LabelRegistry | None = None, metadata: dict | None = None, replace: bool = False) -> None:
     """A reader never sees half a recording: without its manifest a folder is none."""
     spark = next(iter(entities.values())).sparkSession
     fs, target = _fs(spark, f"{path}/manifest.json")
     if fs.exists(target):
-        raise FileExistsError(path)
+        if not replace:
+            raise FileExistsError(path)
+        fs.delete(target, False)
     listed = {}
     for k, (entity, rows) in enumerate(sorted(entities.items())):
         rows.write.mode("overwrite").parquet(f"{path}/entity-{k:04d}")
@@ -41,6 +44,10 @@ def read_recording(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame]
     for entity, x in got["entities"].items():
         if "/" in x["table"] or ".." in x["table"]:
             raise ValueError(f"{entity} points out of the recording")
-        entities[entity] = spark.read.parquet(f"{path}/{x['table']}")
+        rows = spark.read.parquet(f"{path}/{x['table']}")
+        said, found = ([(f.name, f.dataType.simpleString()) for f in kind] for kind in (StructType.fromJson(x["schema"]), rows.schema))
+        if said != found:
+            raise ValueError(f"{entity} has other columns than the manifest says: {found}")
+        entities[entity] = rows
     labels = LabelRegistry.from_json(json.dumps(got["labels"])) if got["labels"] else None
     return entities, labels, got["metadata"]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions import pose as P
-from sightline.functions.labels import LabelRegistry
+from sightline.functions.labels import LabelRegistry, intern
 
 VEC = "array<double>"
 SCHEMAS = {
@@ -54,9 +54,12 @@ class SceneFolder:
 
     @cached_property
     def frames(self) -> DataFrame:
-        """(scene_token, sample_token, timestamp, frame)."""
+        """(scene_token, sample_token, timestamp, frame); samples whose ``next`` is not the next in time raise."""
         order = Window.partitionBy("scene_token").orderBy("timestamp", "token")
-        return self.table("sample").select("scene_token", F.col("token").alias("sample_token"), "timestamp", (F.row_number().over(order) - 1).cast("long").alias("frame"))
+        rows = self.table("sample").withColumn("_next", F.lead("token").over(order)).withColumn("_at", F.row_number().over(order) - 1)
+        chained = F.coalesce(F.nullif("next", F.lit("")), F.lit("")) == F.coalesce("_next", F.lit(""))
+        at = F.when(chained, F.col("_at")).otherwise(F.raise_error(F.concat(F.lit("the chain of samples breaks at "), F.col("token"))).cast("int"))
+        return rows.select("scene_token", F.col("token").alias("sample_token"), "timestamp", at.cast("long").alias("frame"))
 
     def labels(self) -> LabelRegistry:
         """Category names by index, those without one last in the order of the table."""
@@ -89,13 +92,14 @@ class SceneFolder:
         return got.select("scene_token", F.lit("base_link").alias("parent"), child.alias("child"), "mount.*")
 
     def boxes3d(self, coords: str = "base_link", future_s: float = 0.0) -> DataFrame:
-        """Annotated boxes in ``map`` or ``base_link``, with velocity and, if asked for, ``future``.
+        """Annotated boxes in ``map``, ``base_link`` or a sensor's frame, with velocity and, if asked for, ``future``.
 
         The velocity is null without neighbours in time.  ``future`` holds the instance's later
         positions up to ``future_s`` seconds on, as (t in nanoseconds, x, y).
         """
-        if coords not in ("map", "base_link"):
-            raise ValueError(coords)
+        mounts = None if coords in ("map", "base_link") else self.extrinsics().where(F.col("child") == coords)
+        if mounts is not None and mounts.isEmpty():
+            raise ValueError(f"no sensor {coords}")
         ann = self.table("sample_annotation").join(self.frames, "sample_token")
         at = F.struct("timestamp", *(F.col("translation")[i].alias(k) for i, k in enumerate("xyz")))
         track = Window.partitionBy("scene_token", "instance_token").orderBy("timestamp")
@@ -113,9 +117,12 @@ class SceneFolder:
         names = self.table("instance").toDF("instance_token", "category_token").join(self.table("category").select(F.col("token").alias("category_token"), F.col("name").alias("class")), "category_token").drop("category_token")
         ann = ann.join(names, "instance_token").join(self.table("visibility").toDF("visibility_token", "level"), "visibility_token", "left")
         ann = ann.withColumn("own", pose_of(F.col("translation"), F.col("rotation")))
-        if coords == "base_link":
+        if coords != "map":
             ego = self.ego_poses().select("scene_token", F.col("t").alias("frame"), P.pose(*(F.col(c) for c in P.PARTS)).alias("ego"))
             ann = ann.join(ego, ["scene_token", "frame"]).withColumn("back", P.invert(F.col("ego")))
+            if mounts is not None:
+                mount = mounts.select("scene_token", P.pose(*(F.col(c) for c in P.PARTS)).alias("mount"))
+                ann = ann.join(mount, "scene_token").withColumn("back", P.compose(P.invert(F.col("mount")), F.col("back")))
         else:
             ann = ann.withColumn("back", P.identity())
         own = ann.withColumn("own", P.compose(F.col("back"), F.col("own")))
@@ -151,5 +158,21 @@ class SceneFolder:
         return out | {f"{root}/{c}/objects": flat.where(F.col("channel") == c).drop("channel") for c in sorted(channels)}
 
 
+    def import_scenes(self, scenes: list[str] | None = None, **options) -> dict[str, DataFrame]:
+        """All or some scenes as entities by path, told apart by ``recording``, the scene's token."""
+        names = scenes if scenes is not None else sorted(r[0] for r in self.table("scene").select("token").collect())
+        out: dict[str, DataFrame] = {}
+        for token in names:
+            for path, rows in self.entities(token, **options).items():
+                rows = rows.withColumn("recording", F.lit(token))
+                out[path] = out[path].unionByName(rows) if path in out else rows
+        return out
+
+    def instances(self) -> DataFrame:
+        """(instance, instance_id): numbers in the order in which instances are first annotated."""
+        rows = self.table("sample_annotation").join(self.frames, "sample_token").select(F.col("instance_token").alias("instance"), "scene_token", "frame", "token")
+        return intern(rows, "instance", ["scene_token", "frame", "token"])
+
+
 def _numbered(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("row_idx", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("long"))

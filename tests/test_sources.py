@@ -73,7 +73,8 @@ def test_lanelets(spark, tmp_path):
     path.write_text(text)
     lanes = lanelets.lanelets(spark, str(path))
     ring = [(0.0, 1.0), (9.0, 1.0), (9.0, 0.0), (0.0, 0.0)]
-    assert lanelets.region(lanes, ["road"]) == [ring] and lanelets.region(lanes) == [ring, ring]
+    assert lanelets.polygons(lanelets.region(lanes, ["road"])) == [ring] and lanelets.polygons(lanelets.region(lanes)) == [ring, ring]
+    assert lanelets.subtypes(lanes) == ["crosswalk", "road"] and lanelets.region(lanes, ["moon"]).isEmpty()
     path.write_text(text.replace('k="local_x"', 'k="other"'))
     with pytest.raises(Exception, match="no local coordinates"):
         lanelets.lanelets(spark, str(path)).collect()
