@@ -1,5 +1,5 @@
 """Training-data operators: deduplication, quality, decontamination, formatting, mixing, archives.
 
 Nothing outside this folder imports it.  Every operator takes and returns DataFrames; the queries
-that apply them to whole tables are in :mod:`llm.queries`.
+that apply them to whole tables are in :mod:`sightline.llm.queries`.
 """

@@ -7,14 +7,14 @@ of a lost task gets the same values.
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sightline.sources.scratch import Scratch
+
 #: Words are runs of anything but space and the ASCII controls 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -29,39 +29,6 @@ CHUNK_BYTES = 2 << 20
 BROADCAST_KEYS = 200_000
 
 
-# ---------------------------------------------------------------- scratch tables
-
-
-class Scratch:
-    """A folder of intermediate tables in the shared folder that the cluster names."""
-
-    _own: str | None = None
-
-    def __init__(self, spark: SparkSession, kind: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            Scratch._own = Scratch._own or tempfile.mkdtemp(prefix="scratch-")
-            base = f"file://{Scratch._own}"
-        self.spark, self.path = spark, f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex[:12]}"
-
-    def put(self, df: DataFrame, name: str, *by: str) -> DataFrame:
-        """Write ``df`` and return the table just written; this cuts the lineage."""
-        writer = df.write.mode("overwrite").option("compression", "zstd")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
-        return self.get(name, df.schema)
-
-    def get(self, name: str, schema=None) -> DataFrame:
-        reader = self.spark.read
-        return (reader.schema(schema) if schema else reader).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that are no longer read (all of them without names)."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def tidy(spark: SparkSession) -> None:
     """Let the driver's cleaner remove shuffle files of finished jobs now rather than some time."""
     import gc
@@ -70,13 +37,6 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch: texts may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, rows)
-
-
 def power_of_two(x: float, least: int, most: int) -> int:
     n = least
     while n < x and n < most:
@@ -84,17 +44,15 @@ def power_of_two(x: float, least: int, most: int) -> int:
     return n
 
 
-def partitions(spark: SparkSession, total_bytes: int, each: int = 8 << 20) -> int:
-    """Shuffle partitions for so many bytes: the session's number or more, never fewer."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes or 0) // each))
-
-
 # ---------------------------------------------------------------- hashing
 
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _S = [np.uint64(x) for x in (30, 27, 31)]
-#: Odd bases of the polynomial hashes, for bytes and for words, of two independent families.
-_BASES = ((0xD1342543DE82EF95, 0xA0761D6478BD642F), (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+#: Bases, for bytes and for words, of polynomial hashes modulo a prime and, independent of these, modulo 2**64.
+PRIME = (1 << 61) - 1
+_BASES = ((0x0342543DE82EF95B, 0x00761D6478BD642F), (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3))
+_P, _LOW31, _LOW30, _LOW32 = (np.uint64(x) for x in (PRIME, (1 << 31) - 1, (1 << 30) - 1, (1 << 32) - 1))
+_U = {k: np.uint64(k) for k in (1, 30, 31, 32, 61)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -105,21 +63,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S[2])
 
 
-@functools.lru_cache(8)
-def _tables(family: int) -> np.ndarray:
-    return mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * (family + 1)))
+def _fold(x: np.ndarray) -> np.ndarray:
+    """Any 64 bits modulo the prime."""
+    x = (x & _P) + (x >> _U[61])
+    return np.where(x >= _P, x - _P, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _U[31], a & _LOW31, b >> _U[31], b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    high = (a1 * b1 << _U[1]) + (middle >> _U[30])
+    return _fold(_fold(high + ((middle & _LOW30) << _U[31])) + _fold(a0 * b0))
+
 
+class _Modular:
+    """Hashes of runs from running sums, modulo 2**61 - 1."""
 
-@functools.lru_cache(16)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out)
+    @staticmethod
+    @functools.lru_cache(32)
+    def _table(base: int, n: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) < n:  # powers below k, then those below 2 k
+            out = np.concatenate([out, mulmod(out, np.full(1, pow(base, len(out), PRIME), np.uint64))])
+        return out
 
+    def powers(self, base: int, n: int, inverse: bool = False) -> np.ndarray:
+        return self._table(pow(base, -1, PRIME) if inverse else base, power_of_two(n + 1, 1 << 16, 1 << 40))[:n]
 
-def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
-    base = pow(base, -1, 1 << 64) if inverse else base
-    return _powers(base, power_of_two(n + 1, 1 << 16, 1 << 40))[:n]
+    def sums(self, values: np.ndarray, base: int) -> np.ndarray:
+        terms = mulmod(_fold(values), self.powers(base, len(values)))
+        low, high = np.cumsum(terms & _LOW32), np.cumsum(terms >> _U[32])
+        total = np.zeros(len(values) + 1, np.uint64)
+        total[1:] = _fold(mulmod(_fold(high), np.full(1, 1 << 32, np.uint64)) + _fold(low))
+        return total
+
+    def run(self, total: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+        return mulmod(_fold(total[end] + _P - total[start]), self.powers(base, len(total), True)[start])
+
+
+class _Wrapping:
+    """The same modulo 2**64: cheaper, but with known collisions; used as the second of two."""
+
+    @staticmethod
+    @functools.lru_cache(32)
+    def _table(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.cumprod(out)
+
+    def powers(self, base: int, n: int, inverse: bool = False) -> np.ndarray:
+        return self._table(pow(base, -1, 1 << 64) if inverse else base, power_of_two(n + 1, 1 << 16, 1 << 40))[:n]
+
+    def sums(self, values: np.ndarray, base: int) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.powers(base, len(values)), out=total[1:])
+        return total
+
+    def run(self, total: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+        return (total[end] - total[start]) * self.powers(base, len(total), True)[start]
+
+
+_FAMILY = (_Modular(), _Wrapping())
+
+
+@functools.lru_cache(8)
+def _tables(family: int) -> np.ndarray:
+    return mix(np.arange(256, dtype=np.uint64) + np.uint64(1000 * (family + 1))) >> np.uint64(3 * (family == 0))
 
 
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -161,20 +171,36 @@ class Words:
         self.row = np.searchsorted(self.offs, self.start, side="right") - 1
         self.hash, self.rows, self.data = [], len(texts), data
         for f in range(families):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_tables(f)[data] * powers(_BASES[f][0], n), out=total[1:])
-            h = (total[self.end] - total[self.start]) * powers(_BASES[f][0], n + 1, True)[self.start]
-            self.hash.append(mix(h + (self.end - self.start).astype(np.uint64)))
+            own, base = _FAMILY[f], _BASES[f][0]
+            total = own.sums(_tables(f)[data], base)
+            self.hash.append(mix(own.run(total, self.start, self.end, base) + (self.end - self.start).astype(np.uint64) * _K[1]))
 
     def ngrams(self, n: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of ``n`` words inside one text."""
         m = len(self.start)
         if m < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        total = np.zeros(m + 1, np.uint64)
-        np.cumsum(self.hash[family] * powers(_BASES[family][1], m), out=total[1:])
+        own, base = _FAMILY[family], _BASES[family][1]
+        total = own.sums(self.hash[family], base)
+        at = np.flatnonzero(self.row[: m - n + 1] == self.row[n - 1 :])
+        return at, mix(own.run(total, at, at + n, base))
+
+    def whole(self, row: int) -> np.ndarray:
+        """The hash of all words of one text, as one number, told apart by how many there are."""
+        i, j = np.searchsorted(self.row, [row, row + 1])
+        own, base = _FAMILY[0], _BASES[0][1]
+        total = own.sums(self.hash[0][i:j], base)
+        return mix(mix(own.run(total, np.zeros(1, np.int64), np.full(1, j - i), base)) + np.uint64(j - i) * _K[2])
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash) of each run of ``n`` words, hashed as :meth:`whole` does."""
+        m = len(self.start)
+        if m < n:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        own, base = _FAMILY[0], _BASES[0][1]
+        total = own.sums(self.hash[0], base)
         at = np.flatnonzero(self.row[: m - n + 1] == self.row[n - 1 :])
-        return at, mix((total[at + n] - total[at]) * powers(_BASES[family][1], m, True)[at])
+        return at, mix(mix(own.run(total, at, at + n, base)) + np.uint64(n) * _K[2])
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.rows)

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import NO_LETTER, Words, chunks, runs_of, small_batches
+from sightline.llm.common import NO_LETTER, Words, chunks, runs_of
 
 #: Test items sent to the tasks at once.
 BLOCK = 20_000
@@ -39,16 +39,21 @@ class Items:
     gram: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
     @staticmethod
     def of(rows: list[tuple], n: int, least: int) -> Items:
         w = _words(pa.array([t or "" for _, t in rows], pa.string()))
         cut, (at, h) = w.bounds(), w.ngrams(n)
+        short: dict[int, dict[int, list[int]]] = {}
+        for k, m in enumerate(np.diff(cut)):
+            if 0 < m < least:
+                short.setdefault(int(m), {}).setdefault(int(w.whole(k)[0]), []).append(k)
         enough = (np.diff(cut) >= least)[w.row[at]]
         at, h = at[enough], h[enough]
         order = np.argsort(h, kind="stable")
         item = w.row[at][order]
-        return Items([i for i, _ in rows], [w.hash[0][i:j] for i, j in zip(cut, cut[1:])], h[order], item, at[order] - cut[item])
+        return Items([i for i, _ in rows], [w.hash[0][i:j] for i, j in zip(cut, cut[1:])], h[order], item, at[order] - cut[item], short)
 
 
 def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
@@ -71,8 +76,8 @@ def align(docs: list[np.ndarray], items: list[np.ndarray]) -> np.ndarray:
     return best
 
 
-def _regions(row: np.ndarray, item: np.ndarray, diag: np.ndarray, place: np.ndarray, sizes: np.ndarray, hits: int):
-    """(row, item, lowest, highest diagonal) of groups of seed hits that lie near each other."""
+def _regions(row: np.ndarray, item: np.ndarray, diag: np.ndarray, place: np.ndarray, sizes: np.ndarray, need: np.ndarray):
+    """(row, item, lowest, highest diagonal) of groups of seed hits that lie near each other, as many as their item needs."""
     if not len(row):
         return row, item, diag, diag
     order = np.lexsort((diag, item, row))
@@ -84,34 +89,38 @@ def _regions(row: np.ndarray, item: np.ndarray, diag: np.ndarray, place: np.ndar
     first = runs_of(*(x[np.lexsort((place, group))] for x in (group, place)))
     distinct = np.bincount(group[np.lexsort((place, group))][first], minlength=len(begin))
     end = np.append(begin[1:], len(row))
-    seeds = distinct >= hits
+    seeds = distinct >= need[item[begin]]
     return row[begin][seeds], item[begin][seeds], diag[begin][seeds], diag[end - 1][seeds]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, hits: int = 2, score: float = 0.6, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 3, hits: int = 2, score: float = 0.6, least: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(id_col, item_col, score): documents that hold a copy of a test item, edited or not.
 
     Words are lower-case runs of letters and digits.  An item's seeds are all its word ``n``-grams,
     common ones too.  ``hits`` different seeds near one diagonal start an alignment (match 2, mismatch
     and gap -1) over the item and as many words on either side; a document counts from ``score`` times
-    a perfect copy's score on, and gets the best score of each item.  Items of fewer than ``least``
-    words are too short to tell from chance and match nothing.
+    a perfect copy's score on, and gets the best score of each item.  An item with fewer seeds than
+    ``hits`` needs all of them; what one item needs does not depend on the others.  Items of fewer than
+    ``least`` words count word for word only, those of fewer than ``n`` only as a whole text.
+
+    The items are sent to the tasks, ``block`` at a time, and each document's n-grams are looked up
+    there: a seed that is common in the corpus would otherwise shuffle all its places.  A copy with
+    fewer than ``hits`` intact n-grams near one diagonal is not found.
 
     Null and empty texts match nothing; null ids are kept; rows with one id get one result an item,
     the best; other columns are ignored; empty tables give none.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     id_type = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_col).alias("i"), F.col("text").cast("string").alias("t")).where("t IS NOT NULL").distinct()
+    tests = benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).cast("string").alias("t")).where("t IS NOT NULL").distinct()
     schema = f"id {id_type.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, score double"
     parts = max(1, -(-tests.count() // block))
     found = None
     for k in range(parts):
         rows = tests.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == k) if parts > 1 else tests
         items = Items.of(sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0] is None, r)), n, least)
-        if not len(items.gram):
+        if not len(items.gram) and not items.short:
             continue
         one = docs.mapInArrow(_search(items, n, hits, score, schema_of(id_type, items)), schema)
         found = one if found is None else found.unionAll(one)
@@ -129,16 +138,20 @@ def _search(items: Items, n: int, hits: int, score: float, item_type: pa.DataTyp
         sizes = np.array([len(w) for w in items.words])
         many = np.append(runs_of(items.gram), len(items.gram))
         known, number = items.gram[many[:-1]], np.diff(many)
-        need = np.minimum(hits, np.bincount(items.item, minlength=len(sizes)))
+        need = np.minimum(hits, np.bincount(items.item, minlength=len(sizes)))  # each item by itself
         for batch in batches:
             for part in chunks(batch):
                 w = _words(part.column("text"))
                 cut, (at, h) = w.bounds(), w.ngrams(n)
-                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                ok = np.flatnonzero(known[i] == h)
+                i = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                ok = np.flatnonzero(known[i] == h) if len(known) else i[:0]
                 i, at = i[ok], at[ok]
-                regions = [_regions(*hit, sizes, int(need.min()) if len(need) else hits) for hit in _hits(items, many, number, i, at, w.row, cut)]
+                regions = [_regions(*hit, sizes, need) for hit in _hits(items, many, number, i, at, w.row, cut)]
                 rows, its, best = [], [], []
+                for r, t in _verbatim(w, items.short, n):
+                    rows.append(r)
+                    its.append(items.ids[t])
+                    best.append(1.0)
                 todo = [(r, t, c) for found in regions for r, t, lo, hi in zip(*found) for c in _windows(w.hash[0][cut[r] : cut[r + 1]], int(lo), int(hi), int(sizes[t]))]
                 todo.sort(key=lambda x: sizes[x[1]])
                 for j in range(0, len(todo), 256):
@@ -155,6 +168,18 @@ def _search(items: Items, n: int, hits: int, score: float, item_type: pa.DataTyp
     return run
 
 
+def _verbatim(w: Words, short: dict[int, dict[int, list[int]]], n: int) -> Iterator[tuple[int, int]]:
+    """(row, item) of short items word for word: anywhere, or as the whole text if they have fewer than ``n`` words."""
+    cut = w.bounds()
+    for size, by_hash in short.items():
+        runs = w.runs(size)
+        for k in np.flatnonzero(np.isin(runs[1], np.array(list(by_hash), np.uint64))):
+            row = int(w.row[runs[0][k]])
+            if size >= n or cut[row + 1] - cut[row] == size:
+                for t in by_hash[int(runs[1][k])]:
+                    yield row, t
+
+
 def _hits(items: Items, many: np.ndarray, number: np.ndarray, i: np.ndarray, at: np.ndarray, row: np.ndarray, cut: np.ndarray) -> Iterator[tuple]:
     """(row, item, diagonal, place) of seed hits, some whole documents at a time."""
     total = np.append(0, np.cumsum(number[i]))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, powers, runs_of, small_batches, tidy, unpack, unpack_all
+from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, runs_of, tidy, unpack, unpack_all
 
 #: Counters of the sketch; part size when it is summed; documents of a tile that is not cut.
 SKETCH, SKETCH_PART, TILE = 1 << 18, 4096, 1024
@@ -42,13 +42,9 @@ def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     w = Words(texts, lower=True)
     at, h = w.ngrams(n)
     cut, words = w.bounds(at), w.bounds()
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hash[0] * powers(3, len(w.hash[0])))])
     for k in range(w.rows):
         i, j = words[k], words[k + 1]
-        if 0 < j - i < n:
-            yield mix((total[j : j + 1] - total[i : i + 1]) * powers(3, i + 1, True)[i] ^ np.uint64(int(j - i) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        else:
-            yield np.unique(h[cut[k] : cut[k + 1]])
+        yield w.whole(k) if 0 < j - i < n else np.unique(h[cut[k] : cut[k + 1]])
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -99,7 +95,6 @@ class Join:
 
     def __init__(self, docs: DataFrame, n: int, num: int, den: int):
         self.docs, self.n, self.num, self.den, self.spark = docs, n, num, den, docs.sparkSession
-        small_batches(self.spark)
         self.scratch = Scratch(self.spark, "jaccard")
 
     def describe(self) -> np.ndarray:

@@ -8,7 +8,6 @@ sample of graded rows; scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from llm.common import NO_LETTER, NO_MARK, Words, chunks, pack, small_batches, unpack
+from sightline.llm.common import NO_LETTER, NO_MARK, Words, chunks, pack, unpack
 
 BITS = 18
-#: Graded rows used for the fit at most: a sample by hash, about so many.
+#: Graded documents used for the fit at most, those with the smallest hashes.
 SAMPLE = 12_000
-#: Features kept: those whose rows' mean grade differs most, in standard errors.
-FEATURES, LEAST_Z, LEAST_ROWS = 1024, 3.0, 8
 BINS = 12
 
 
@@ -62,16 +59,17 @@ class Ordinal:
     cuts: np.ndarray
 
     @staticmethod
-    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, l2: float = 1e-4) -> Ordinal:
+    def fit(rows: np.ndarray, cols: np.ndarray, grade: np.ndarray, grades: int, steps: int = 800, l2: float = 1e-4, features: int = 1024, least_z: float = 3.0, least_rows: int = 8) -> Ordinal:
+        """Keeps the ``features`` hashes whose rows' mean grade differs most, by ``least_z`` standard errors over ``least_rows`` rows at least."""
         n = len(grade)
         share = np.cumsum(np.bincount(grade, minlength=grades) + 0.5)[:-1] / (n + 0.5 * grades)
         cuts = np.log(share / (1 - share))
         seen = np.bincount(cols, minlength=1 << BITS)
         mean = np.bincount(cols, grade[rows], 1 << BITS) / np.maximum(1, seen)
         z = np.abs(mean - grade.mean()) * np.sqrt(seen) / max(grade.std(), 1e-9)
-        z[seen < LEAST_ROWS] = 0
-        index = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-        index = index[z[index] >= LEAST_Z]
+        z[seen < least_rows] = 0
+        index = np.sort(np.argsort(-z, kind="stable")[:features])
+        index = index[z[index] >= least_z]
         place = np.full(1 << BITS, -1)
         place[index] = np.arange(len(index))
         x = np.zeros((n, len(index)), np.float32)
@@ -110,17 +108,18 @@ class Ordinal:
         return above.sum(1), above[:, tail - 1] if tail else np.ones(n)
 
 
-def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
+def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", **options) -> Ordinal | None:
     """A model from ``grades(id_col, grade)``; None without graded rows.
 
-    A document graded several times counts once, with its lowest grade.
+    Learns from ``sample`` graded documents at most, those with the smallest hashes of their ids, in
+    the order of these, so that a fit on the same rows gives the same model.  A document graded several
+    times counts once, with its lowest grade; rows that repeat an id count once, with their smallest
+    text; null ids and grades do not count; grades outside 0..levels-1 count as the nearest.
+    ``options`` are those of :meth:`Ordinal.fit`.
     """
-    small_batches(docs.sparkSession)
     grades = grades.where(F.col("grade").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("grade").cast("int").alias("grade"))
-    total = grades.count()
-    share = min(1.0, sample / max(1, total))
-    chosen = grades.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    rows = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, id_col).select("text", "grade")
+    chosen = grades.withColumn("place", F.xxhash64(id_col)).orderBy("place", id_col).limit(sample)
+    rows = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, id_col).groupBy(id_col, "place", "grade").agg(F.min("text").alias("text")).select("place", "text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,13 +127,14 @@ def fit_quality(docs: DataFrame, grades: DataFrame, levels: int = 3, sample: int
                 at, cols = features(part.column("text"))
                 cut = np.searchsorted(at, np.arange(part.num_rows + 1))
                 blobs = [pack(cols[i:j].astype(np.uint32)) for i, j in zip(cut, cut[1:])]
-                yield pa.RecordBatch.from_arrays([part.column("grade"), pa.array(blobs, pa.binary())], ["grade", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("place"), part.column("grade"), pa.array(blobs, pa.binary())], ["place", "grade", "x"])
 
-    got = rows.mapInArrow(run, "grade int, x binary").toArrow()
+    got = rows.mapInArrow(run, "place long, grade int, x binary").toArrow()
     if not got.num_rows:
         return None
+    got = got.sort_by([("place", "ascending"), ("grade", "ascending")])
     xs, grade = [unpack(b, np.uint32) for b in got.column("x").to_pylist()], np.clip(np.asarray(got.column("grade")), 0, levels - 1)
-    return Ordinal.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), grade, levels)
+    return Ordinal.fit(np.repeat(np.arange(len(xs)), [len(x) for x in xs]), np.concatenate(xs).astype(np.int64), grade, levels, **options)
 
 
 def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -147,7 +147,6 @@ def score_quality(docs: DataFrame, model: Ordinal | None, tail: int = 2, keep_at
     docs = docs.drop("expected_grade", "p_tail", "keep")
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "p_tail": F.lit(None).cast("double"), "keep": F.lit(True)})
-    small_batches(docs.sparkSession)
     schema = StructType(docs.schema.fields[:]).add("expected_grade", "double").add("p_tail", "double").add("keep", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

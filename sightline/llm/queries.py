@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.chat_format import format_chats, read_chats
-from llm.decontaminate import decontaminate
-from llm.jaccard_join import jaccard_components
-from llm.license_scan import license_scan
-from llm.line_dedup import line_dedup
-from llm.media_ts import read_media, to_media
-from llm.mixture import mix
-from llm.quality import fit_quality, graded, score_quality
-from llm.substring_dedup import substring_dedup
-from llm.warc import archive
+from sightline.llm.chat_format import format_chats, read_chats
+from sightline.llm.decontaminate import decontaminate
+from sightline.llm.jaccard_join import jaccard_components
+from sightline.llm.license_scan import license_scan
+from sightline.llm.line_dedup import line_dedup
+from sightline.llm.media_ts import read_media, to_media
+from sightline.llm.mixture import mix
+from sightline.llm.quality import fit_quality, graded, score_quality
+from sightline.llm.substring_dedup import substring_dedup
+from sightline.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+#: Windows as lists of 13 words; a window goes where a smaller id begins it too.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+v AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM p),
+f AS (SELECT t, min(doc_id) AS first FROM v GROUP BY t HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT DISTINCT v.doc_id, unnest(range(i, i + 13)) AS i FROM v JOIN f ON f.t = v.t AND first < v.doc_id),
+r AS (SELECT d.doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT r.doc_id, string_agg(word, ' ' ORDER BY r.i) AS kept FROM r LEFT JOIN g ON g.doc_id = r.doc_id AND g.i = r.i WHERE g.i IS NULL GROUP BY r.doc_id),
+n AS (SELECT doc_id, count(*) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, graded(table(spark, sf_dir, "labels")))
@@ -65,7 +80,7 @@ def sha256(text) -> F.Column:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-7, 0, "user", HOSTILE), (-7, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES (-7, 0, 'user', '{HOSTILE}'), (-7, 1, 'assistant', '{HOSTILE}') AS t (conv_id, turn, role, text)")
     read = read_chats(format_chats(turns.unionByName(own)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return read.select(
@@ -99,10 +114,44 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+#: Targets by filling sources in the order of cap / weight; documents in the order of their hash.
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+  CAST('0x' || substr(md5('42' || coalesce('|=' || doc_id, '|') || coalesce('|=' || text, '|')), 1, 15) AS BIGINT) AS hash FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE)[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+c AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, 2 * source_size / weight AS fill FROM s),
+l AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
+f AS (SELECT arg_min(level, fill) AS level FROM l WHERE level <= fill),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM f) * weight, cap)) AS target FROM c),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
+h AS (SELECT source, hash, sum(size) AS n FROM d WHERE size > 0 GROUP BY source, hash),
+k AS (SELECT h.source, hash, n, target - base * source_size AS goal, sum(n) OVER (PARTITION BY h.source ORDER BY hash) - n AS before FROM h JOIN g ON h.source IS NOT DISTINCT FROM g.source),
+a AS (SELECT source, hash, before + n <= goal OR (before <= goal AND (goal - before) * 2 >= n) AS again FROM k)
+SELECT d.doc_id, d.size, source_size, target, CAST(d.size * (base + CASE WHEN coalesce(again, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN a ON a.source IS NOT DISTINCT FROM d.source AND a.hash = d.hash
+"""
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
 
+#: Pairs by shared shingles, exactly; then the least id that links reach.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.least, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a) m USING (doc_id)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), sha256("text").alias("kept_sha256"))
@@ -132,4 +181,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op6_mixture": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op4_chat_format": OP4_SQL, "op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL}

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Scratch, Words, chunks, mix, pack, power_of_two, runs_of, small_batches, tidy, unpack, unpack_all
+from sightline.llm.common import Scratch, Words, chunks, mix, pack, power_of_two, runs_of, tidy, unpack, unpack_all
 
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
@@ -138,7 +138,6 @@ class FingerprintIndex:
         self.shards = power_of_two(total_bytes / (4 << 20), 64, 1 << 22)
         self.scratch, self.runs, self.batches = Scratch(spark, "fingerprints"), [], 0
         self.table = self.scratch.path.rpartition("/")[2].replace("-", "_")
-        small_batches(spark)
 
     def _log(self, rows: DataFrame) -> int:
         """Append rows to the index: a table in as many buckets as the runs are cut into.
