@@ -190,7 +190,7 @@ class Words:
         i, j = np.searchsorted(self.row, [row, row + 1])
         own, base = _FAMILY[0], _BASES[0][1]
         total = own.sums(self.hash[0][i:j], base)
-        return mix(mix(own.run(total, np.zeros(1, np.int64), np.full(1, j - i), base)) + np.uint64(j - i) * _K[2])
+        return mix(mix(own.run(total, np.zeros(1, np.int64), np.full(1, j - i), base)) + np.full(1, j - i, np.uint64) * _K[2])
 
     def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each run of ``n`` words, hashed as :meth:`whole` does."""
@@ -200,7 +200,7 @@ class Words:
         own, base = _FAMILY[0], _BASES[0][1]
         total = own.sums(self.hash[0], base)
         at = np.flatnonzero(self.row[: m - n + 1] == self.row[n - 1 :])
-        return at, mix(mix(own.run(total, at, at + n, base)) + np.uint64(n) * _K[2])
+        return at, mix(mix(own.run(total, at, at + n, base)) + np.full(1, n, np.uint64) * _K[2])
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.row, minlength=self.rows)

@@ -5,16 +5,15 @@ each, in any order common to all.  Rarer tokens come first, by a count sketch of
 documents, so what very many documents share is not used to find partners.
 
 1. Equal sets become one class, the smallest id stands for it.
-2. Prefix tokens are dealt to buckets.  Of each token's documents the smallest set is a leader and
-   is paired with those of fitting size; pairs that pass the bitmap bound are intersected exactly.
-   This joins groups of copies without looking at all their pairs.
-   A few rounds with other leaders, drawn by hash, join what the first ones missed.
-3. Documents that share a prefix token and are not joined yet meet in tiles of one size band and the
-   next; large tiles are cut into smaller ones.  A pair is looked at where its first shared token
-   may be: so many of either set's tokens must be left from there on.  Bit counts of hashed bitmaps bound the overlap from
-   above; what passes is intersected exactly.
-
-No pair that could be linked is left out: each is joined in step 2 or tested in step 3.
+2. Prefix tokens are dealt to buckets.  A token's sets in one size band and the next are a tile.
+3. Tiles are worked off in rounds, so that groups of copies need not be compared pair by pair: in the
+   first rounds a tile's leader (the smallest set, then ones drawn by hash) is paired with the sets
+   not joined to it yet, in the last one all that is still open; large tiles are cut into parts.  A
+   pair is looked at where its first shared token may be: so many of either set's tokens must be left
+   from there on.  Bit counts of hashed bitmaps bound the overlap from above; what passes is
+   intersected exactly, as sorted arrays.
+
+No pair that could be linked is left out: each is joined in some round or tested in the last one.
 """
 
 from __future__ import annotations
@@ -30,8 +29,10 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, runs_of, tidy, unpack, unpack_all
 
-#: Counters of the sketch; part size when it is summed; documents of a tile that is not cut.
-SKETCH, SKETCH_PART, TILE = 1 << 18, 4096, 1024
+#: Counters of the sketch, which grows with the corpus between these bounds; part size when it is summed.
+SKETCH, SKETCH_MOST, SKETCH_PART = 1 << 18, 1 << 22, 4096
+#: Sets of a tile that is not cut; sets of a token that one task gathers, about.
+TILE, GATHER = 1024, 1 << 15
 FLUSH = 1_000_000
 #: Rounds after the first leaders: the last one tests all that is left, the others only save it work.
 ROUNDS = 3
@@ -93,20 +94,20 @@ def _as_maps(column) -> list[np.ndarray]:
 class Join:
     """One run over ``docs(id, text)``; links are sets with num/den of their union in common."""
 
-    def __init__(self, docs: DataFrame, n: int, num: int, den: int):
-        self.docs, self.n, self.num, self.den, self.spark = docs, n, num, den, docs.sparkSession
+    def __init__(self, docs: DataFrame, n: int, num: int, den: int, gather: int = GATHER):
+        self.docs, self.n, self.num, self.den, self.spark, self.most = docs, n, num, den, docs.sparkSession, gather
         self.scratch = Scratch(self.spark, "jaccard")
 
-    def describe(self) -> np.ndarray:
-        """Write each document's size, digest and bitmap; return the sketch of token counts."""
-        n = self.n
+    def describe(self, total_bytes: int) -> np.ndarray:
+        """Write each document's size, digest and bitmap; return the sketch of token counts (four steps to a doubling)."""
+        n, counters = self.n, power_of_two(total_bytes >> 11, SKETCH, SKETCH_MOST)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, total = ["kind", "id", "n", "d1", "d2", "map"], np.zeros(SKETCH, np.int64)
+            names, total = ["kind", "id", "n", "d1", "d2", "map"], np.zeros(counters, np.int64)
             for batch in batches:
                 for part in chunks(batch):
                     sets = list(token_sets(part.column("text"), n))
-                    total += np.bincount(np.concatenate(sets) & np.uint64(SKETCH - 1), minlength=SKETCH)
+                    total += np.bincount(np.concatenate(sets) & np.uint64(counters - 1), minlength=counters)
                     d1, d2 = zip(*map(digest, sets))
                     yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), part.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(list(map(bitmap, sets)), pa.binary())], names)
             if total.any():
@@ -121,14 +122,20 @@ class Join:
             total = sum(unpack(x, np.uint32).astype(np.int64) for x in parts.column("map").to_pylist())
             return pa.table({"id": [key[0].as_py()], "map": pa.array([pack(total)], pa.binary())})
 
-        sketch = np.zeros((SKETCH // SKETCH_PART, SKETCH_PART), np.int64)
+        sketch = np.zeros((counters // SKETCH_PART, SKETCH_PART), np.int64)
         for k, blob in both.where("kind = 1").select("id", "map").groupBy("id").applyInArrow(add, "id long, map binary").collect():
             sketch[k] = unpack(bytes(blob), np.int64)
         return (4 * np.log2(sketch.ravel() + 1)).astype(np.uint8)
 
     def meet(self, level: np.ndarray, total_bytes: int) -> None:
-        """Write leader pairs and the groups of documents that share a prefix token."""
+        """Write leader pairs and the groups of documents that share a prefix token.
+
+        A token with more than ``most`` sets, by the sketch, is dealt to as many buckets as it takes; each
+        has a leader of its own, which the rounds over whole tiles join.
+        """
         n, num, den = self.n, self.num, self.den
+        shared = self.spark.sparkContext.broadcast(level)
+        hot = math.ceil(4 * math.log2(self.most + 1))
         buckets = power_of_two(total_bytes / (16 << 20), 64, 1 << 20)
         shift = np.uint64(65 - buckets.bit_length())
 
@@ -137,8 +144,13 @@ class Join:
             order = np.lexsort((d, tok))
             order = order[runs_of(tok[order], d[order])]
             tok, d, size, rest = tok[order], d[order], size[order], rest[order]
-            cut = runs_of(tok >> shift)
-            rows = [(int(tok[i] >> shift), *(pack(x[i:j]) for x in (tok, d, size, rest))) for i, j in zip(cut, [*cut[1:], len(tok)])]
+            known = shared.value[tok & np.uint64(len(shared.value) - 1)].astype(np.int64)
+            parts = np.exp2(np.maximum(0, known - hot + 4) // 4).astype(np.uint64)
+            bucket = np.where(parts > 1, mix(tok + mix(d.view(np.uint64)) % parts), tok) >> shift
+            order = np.argsort(bucket, kind="stable")
+            tok, d, size, rest, bucket = tok[order], d[order], size[order], rest[order], bucket[order]
+            cut = runs_of(bucket)
+            rows = [(int(bucket[i]), *(pack(x[i:j]) for x in (tok, d, size, rest))) for i, j in zip(cut, [*cut[1:], len(tok)])]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "tok", "d", "n", "rest"])
 
         def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +159,7 @@ class Join:
                 for part in chunks(batch):
                     for tokens in token_sets(part.column("text"), n):
                         if len(tokens):
-                            order = np.argsort(level[tokens & np.uint64(SKETCH - 1)], kind="stable")[: prefix_size(len(tokens), num, den)]
+                            order = np.argsort(shared.value[tokens & np.uint64(len(shared.value) - 1)], kind="stable")[: prefix_size(len(tokens), num, den)]
                             got.append((tokens[order], np.full(len(order), digest(tokens)[0]), np.full(len(order), len(tokens), np.uint32), np.arange(len(tokens), len(tokens) - len(order), -1, dtype=np.uint32)))
                             count += len(order)
                     if count > FLUSH:
@@ -162,7 +174,8 @@ class Join:
             order = np.lexsort((d, size, tok))
             order = order[runs_of(tok[order], size[order], d[order])]
             cut = runs_of(tok[order])
-            order = order[np.repeat(np.diff([*cut, len(order)]) > 1, np.diff([*cut, len(order)]))]
+            dealt = shared.value[tok[order][cut] & np.uint64(len(shared.value) - 1)] >= hot
+            order = order[np.repeat((np.diff([*cut, len(order)]) > 1) | dealt, np.diff([*cut, len(order)]))]
             tok, d, size, rest = tok[order], d[order], size[order], rest[order]
             pairs, left = [np.zeros((0, 2), np.int64)], np.arange(len(tok))
             while len(left):  # each round's leaders take what fits their size; the rest has leaders of its own
@@ -181,10 +194,10 @@ class Join:
         self.pairs, self.groups = met.where("kind = 0").select("a", "b").distinct(), met.where("kind = 1").select(F.col("a").alias("tok"), F.col("b").alias("d1"), "n", "rest")
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
-        """(a, b): representatives of pairs of digests that pass the bitmap bound."""
+        """Those pairs (a, b) of digests that pass the bitmap bound."""
         num, den = self.num, self.den
-        one = self.classes.select(F.col("d1").alias("a"), F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.col("map").alias("map_a"))
-        two = one.toDF("b", "rep_b", "n_b", "map_b")
+        one = self.classes.select(F.col("d1").alias("a"), F.col("n").alias("n_a"), F.col("map").alias("map_a"))
+        two = one.toDF("b", "n_b", "map_b")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -197,29 +210,39 @@ class Join:
                     ok = may_link(n_a[i], n_b[i], np.stack([a[k] for k in i]), np.stack([b[k] for k in i]), num, den)
                     keep += i[ok].tolist()
                 if keep:
-                    yield batch.select(["rep_a", "rep_b"]).take(pa.array(keep)).rename_columns(["a", "b"])
+                    yield batch.select(["a", "b"]).take(pa.array(keep))
 
-        return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "map_a", "map_b").mapInArrow(run, "a long, b long")
 
     def exact(self, pairs: DataFrame, name: str) -> DataFrame:
-        """Those pairs (a, b) of representatives whose sets are linked, by exact intersection."""
-        n, pairs = self.n, self.scratch.put(pairs.distinct(), f"{name}-bounded")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(self.classes.select("rep", "d1", "d2"), "rep")
+        """(a, b): representatives of those pairs of digests whose sets are linked, by exact intersection."""
+        n, num, den, pairs = self.n, self.num, self.den, self.scratch.put(pairs.distinct(), f"{name}-bounded")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct().join(self.classes.select("rep", "d1", "d2"), "d1")
         ids = self.scratch.put(ids, f"{name}-ids")
         docs = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, F.expr("id = rep")).select("rep", "text", "d1", "d2")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch):
                     sets = list(token_sets(part.column("text"), n))
                     same = [i for i, s in enumerate(sets) if digest(s) == (part.column("d1")[i].as_py(), part.column("d2")[i].as_py())]
-                    yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(same, pa.int64())), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["rep", "tokens"])
+                    some = part.select(["d1", "rep"]).take(pa.array(same, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*some.columns, pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["d1", "rep", "tokens"])
 
-        sets = self.scratch.put(docs.mapInArrow(run, "rep long, tokens array<long>").dropDuplicates(["rep"]), f"{name}-sets")
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        linked = both.withColumn("c", common).where(f"{self.den} * c >= {self.num} * (size(x) + size(y) - c)").select("a", "b")
-        linked = self.scratch.put(linked, f"{name}-links")
+        def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cuts, flat = zip(*((np.asarray(c.offsets), np.asarray(c.values).view(np.uint64)) for c in (batch.column("x"), batch.column("y"))))
+                keep = []
+                for i in range(batch.num_rows):
+                    x, y = (v[c[i] : c[i + 1]] for c, v in zip(cuts, flat))
+                    c = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))  # both sorted
+                    if den * c >= num * (len(x) + len(y) - c):
+                        keep.append(i)
+                yield batch.select(["rep_a", "rep_b"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
+
+        sets = self.scratch.put(docs.mapInArrow(read, "d1 long, rep long, tokens array<long>").dropDuplicates(["d1"]), f"{name}-sets")
+        both = pairs.join(sets.toDF("a", "rep_a", "x"), "a").join(sets.toDF("b", "rep_b", "y"), "b").select("rep_a", "rep_b", "x", "y")
+        linked = self.scratch.put(both.mapInArrow(common, "a long, b long"), f"{name}-links")
         self.scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-bounded")
         tidy(self.spark)
         return linked
@@ -247,19 +270,19 @@ class Join:
         return rows.join(lead, ["tok", "tile"]).where(fits).select(F.least("d1", "lead.d1").alias("a"), F.greatest("d1", "lead.d1").alias("b")).distinct()
 
     def tiles(self, rows: DataFrame) -> DataFrame:
-        """(a, b): pairs of representatives of ``open_rows`` that pass the bound and are not joined."""
+        """(a, b): pairs of digests of ``open_rows`` that pass the bound and are not joined."""
         num, den, label = self.num, self.den, self.classes
         size = rows.groupBy("tok", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
         rows = rows.join(size, ["tok", "tile"]).withColumn("part", F.pmod(F.xxhash64("d1"), F.col("parts")).cast("int"))
         rows = rows.select("tok", "tile", "d1", "n", "rest", "component", "own", "part", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("p"), F.greatest("part", q).alias("q")))).alias("c"))
-        rows = rows.join(label.select("d1", "rep", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "rest", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "rep", "map")
+        rows = rows.join(label.select("d1", "map"), "d1").select(F.xxhash64("tok", "tile", "c").alias("key"), "n", "rest", "component", "own", "part", F.col("c.p").alias("p"), F.col("c.q").alias("q"), "d1", "map")
         many = int(self.spark.conf.get("spark.sql.shuffle.partitions")) * 4
 
         def run(key, rows):
             rows = rows.sort_by("key")
             tile, cut = np.asarray(rows.column("key")), None
             cut = runs_of(tile)
-            n, rest, comp, own, part, p, q, rep = (np.asarray(rows.column(c)) for c in ("n", "rest", "component", "own", "part", "p", "q", "rep"))
+            n, rest, comp, own, part, p, q, rep = (np.asarray(rows.column(c)) for c in ("n", "rest", "component", "own", "part", "p", "q", "d1"))
             maps, out = _as_maps(rows.column("map")), [np.zeros((0, 2), np.int64)]
             for i, j in zip(cut, [*cut[1:], len(tile)]):
                 size = min(len(maps[k]) for k in range(i, j))
@@ -283,12 +306,16 @@ class Join:
 
     def run(self) -> DataFrame:
         total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        level = self.describe()
+        level = self.describe(total)
         classes = self.described.where("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("map").alias("map"))
         self.classes = self.scratch.put(classes, "classes")
         self.meet(level, total)
         tidy(self.spark)
-        links = self.exact(self.bounded(self.pairs), "leaders")
+        # An id with several texts ties their classes together.
+        own = self.described.where("n > 0 AND id IS NOT NULL").select("id", "d1", "d2")
+        several = own.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("id")
+        ties = own.join(several, "id").join(self.classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+        links = self.exact(self.bounded(self.pairs), "leaders").unionAll(self.scratch.put(ties, "ties"))
         joined = self.scratch.put(components(self.scratch, links, "cc"), "joined-0")
         rows = self.placed()
         for turn in range(1, ROUNDS + 1):
@@ -310,7 +337,7 @@ class Join:
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), "id").alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", gather: int = GATHER) -> DataFrame:
     """(id_col, n_shingles, component_id): groups of documents linked by Jaccard >= num/den.
 
     A document's set holds its distinct runs of ``words`` words, lower-cased in A-Z; with fewer words
@@ -318,8 +345,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     document's own included.
 
     Null and empty texts have empty sets, which link with nothing, not even each other.  Rows without an
-    id have no component and link nothing.  Rows that repeat an id are joined through it if their texts
-    are equal.  Other columns are ignored; an empty table gives none.
+    id have no component and link nothing.  Rows that repeat an id are one node: what is linked with
+    either text is linked with both.  Other columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return Join(rows, words, num, den).run().withColumnRenamed("id", id_col)
+    return Join(rows, words, num, den, gather).run().withColumnRenamed("id", id_col)

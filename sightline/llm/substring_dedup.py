@@ -3,13 +3,14 @@
 The index is a list of immutable runs.  A run holds the sorted, distinct 96-bit fingerprints of all
 windows of some batches, cut into buckets by the leading bits.  A new batch is hashed, combined on
 the map side (one entry for each fingerprint and chunk), shuffled to the buckets and merge-joined
-with the runs there: the leading 64 bits find a candidate, the other 32, from an independent hash
-of the same bytes, verify it.  What is new becomes the next run; when there are more than
+with the runs there: the leading 64 bits, of a hash modulo a prime, find a candidate, the
+other 32, from an independent hash of the same bytes modulo 2**64, verify it.  What is new becomes the next run; when there are more than
 ``max_runs``, the runs are merged into one.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import compress
 
@@ -27,6 +28,8 @@ ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("shard", pa.in
 KEPT = pa.schema([("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 #: A document's shard, as numpy and SQL both compute it without overflow.
 PRIME, FACTOR = (1 << 31) - 1, 1_073_741_789
+#: A session's limit of buckets, raised while an index is open.
+MAX_BUCKETS = "spark.sql.sources.bucketing.maxBuckets"
 #: Windows gathered before a flush; bounds a worker's memory.
 FLUSH = 1_500_000
 
@@ -126,18 +129,47 @@ def _compact(key, runs):
 
 
 class FingerprintIndex:
-    """Fingerprints of all windows seen so far; lives in the shared folder.
+    """Fingerprints of all windows seen so far; lives in a folder that the cluster shares.
 
     ``buckets`` fixes how the runs are cut and ``shards`` how documents are dealt out; both are set
-    once, from the size that the corpus is expected to reach.
+    once, from the size that the corpus is expected to reach.  With a ``path`` the index stays when the
+    process ends: its manifest is written after each run, and :meth:`open` goes on from there.
     """
 
-    def __init__(self, spark: SparkSession, words: int = 13, total_bytes: int = 0, max_runs: int = 2):
-        self.spark, self.words, self.max_runs = spark, words, max_runs
-        self.buckets = power_of_two(total_bytes / (8 << 20), 64, 1 << 20)
-        self.shards = power_of_two(total_bytes / (4 << 20), 64, 1 << 22)
-        self.scratch, self.runs, self.batches = Scratch(spark, "fingerprints"), [], 0
+    def __init__(self, spark: SparkSession, words: int = 13, total_bytes: int = 0, max_runs: int = 2, path: str | None = None, bucket_bytes: int = 8 << 20):
+        # From 64 buckets on their number grows with the corpus; beyond half a terabyte buckets grow too.
+        self.buckets = power_of_two(total_bytes / bucket_bytes, 64, 1 << 16)
+        self.buckets = power_of_two(total_bytes / (8 * bucket_bytes), self.buckets, 1 << 20)
+        self.shards = power_of_two(total_bytes / (4 << 20), 64, 1 << 25)
+        self._start(spark, words, max_runs, path, [], 0)
+
+    def _start(self, spark: SparkSession, words: int, max_runs: int, path: str | None, runs: list[int], batches: int) -> None:
+        self.spark, self.words, self.max_runs, self.runs, self.batches = spark, words, max_runs, runs, batches
+        self.scratch, self.durable = Scratch(spark, "fingerprints"), path is not None
         self.table = self.scratch.path.rpartition("/")[2].replace("-", "_")
+        self.scratch.path = path.rstrip("/") if path else self.scratch.path
+        self.limit = spark.conf.get(MAX_BUCKETS)
+        spark.conf.set(MAX_BUCKETS, max(int(self.limit), self.buckets))
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that an earlier process left in ``path``."""
+        about = json.loads(spark.read.text(f"{path.rstrip('/')}/manifest.json", wholetext=True).first()[0])
+        index = cls.__new__(cls)
+        index.buckets, index.shards = about["buckets"], about["shards"]
+        index._start(spark, about["words"], about["max_runs"], path, about["runs"], about["batches"])
+        spark.sql(f"CREATE TABLE {index.table} ({ROWS}, batch int) USING parquet OPTIONS (path '{index.scratch.path}/log') PARTITIONED BY (batch, kind) CLUSTERED BY (bucket) INTO {index.buckets} BUCKETS")
+        spark.sql(f"ALTER TABLE {index.table} RECOVER PARTITIONS")
+        return index
+
+    def _save(self) -> None:
+        """Write the manifest; runs that it does not name do not count."""
+        if self.durable:
+            names = ("words", "max_runs", "buckets", "shards", "runs", "batches")
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.scratch.path}/manifest.json")
+            out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True)
+            out.write(bytearray(json.dumps({k: getattr(self, k) for k in names}).encode()))
+            out.close()
 
     def _log(self, rows: DataFrame) -> int:
         """Append rows to the index: a table in as many buckets as the runs are cut into.
@@ -148,6 +180,7 @@ class FingerprintIndex:
         writer = rows.withColumn("batch", F.lit(name)).write.mode("append").option("compression", "zstd").option("path", f"{self.scratch.path}/log")
         writer.partitionBy("batch", "kind").bucketBy(self.buckets, "bucket").saveAsTable(self.table)
         self.runs.append(name)
+        self._save()
         tidy(self.spark)
         return name
 
@@ -166,7 +199,7 @@ class FingerprintIndex:
         was, merged = self.runs, self._runs().groupBy("bucket").applyInArrow(_compact, ROWS)
         self.runs = []
         self._log(merged)
-        self.forget(was)
+        self.forget(was)  # after the manifest names the merged run
 
     def forget(self, runs: list[int]) -> None:
         """Delete runs; the marks of their batches stay."""
@@ -174,9 +207,11 @@ class FingerprintIndex:
         self.spark.catalog.refreshTable(self.table)
 
     def close(self) -> None:
-        """Delete all runs and take the table out of the catalog."""
-        self.forget(self.runs)
+        """Take the table out of the catalog; an index without a path of its own loses its runs."""
+        if not self.durable:
+            self.scratch.drop(*(f"log/batch={x}/kind=0" for x in self.runs))
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        self.spark.conf.set(MAX_BUCKETS, self.limit)
 
     def marks(self, names: list[int]) -> DataFrame:
         rows = self.scratch.get("log", "bucket int, shard int, a binary, b binary, c binary, batch int, kind int")
@@ -237,12 +272,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     low, high = low or 0, high if high is not None else low or 0
     step = max(1, -(-(high - low + 1) // batches))
     names = []
-    for k in range(batches):
-        last = k == batches - 1
-        batch = docs.where((F.col("doc") >= low + k * step) & (F.lit(True) if last else F.col("doc") < low + (k + 1) * step))
-        if len(index.runs) > index.max_runs:
-            index.compact()
-        names.append(index.add(batch))
-    index.close()
+    try:
+        for k in range(batches):
+            last = k == batches - 1
+            batch = docs.where((F.col("doc") >= low + k * step) & (F.lit(True) if last else F.col("doc") < low + (k + 1) * step))
+            if len(index.runs) > index.max_runs:
+                index.compact()
+            names.append(index.add(batch))
+    finally:
+        index.close()
     out = index.clean(docs, names)
     return out.select(F.when(F.col("doc") < NO_ID, F.col("doc")).alias(id_col), "n_words", "n_removed", "kept")

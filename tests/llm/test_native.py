@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import HAS_SF, SF, rows_of, sql_rows
-from llm import queries as Q
-from llm.chat_format import format_chats, read_chats
-from llm.license_scan import TEMPLATES, bigrams_of, license_scan, words_of
-from llm.line_dedup import line_dedup
-from llm.mixture import mix
+from sightline.llm import queries as Q
+from sightline.llm.chat_format import format_chats, read_chats
+from sightline.llm.license_scan import TEMPLATES, bigrams_of, license_scan, words_of
+from sightline.llm.line_dedup import line_dedup
+from sightline.llm.mixture import mix
 
 
 @pytest.mark.skipif(not HAS_SF, reason="needs the generated tables")
@@ -29,6 +29,25 @@ def test_chat_edges(spark):
     assert format_chats(df.limit(0)).collect() == []
 
 
+def test_long_conversations(spark):
+    """Blocks, spans and texts of conversations beyond the stride of running sums."""
+    rows = [(c, t, ("user", "assistant")[(t // (c + 1)) % 2], f"{t}[PART]</s>" if t % 7 else "") for c in range(3) for t in range(1500)]
+    got = {r.conv_id: r for r in read_chats(format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))).collect()}
+    for c in range(3):
+        own = [(r, x) for k, _, r, x in rows if k == c]
+        assert [tuple(t) for t in got[c].turns] == own and got[c].loss_text == "".join(x for r, x in own if r == "assistant")
+    wrong = format_chats(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).withColumn("loss_spans", F.expr("transform(loss_spans, s -> named_struct('start', s.start, 'end', s.end + 1))"))
+    with pytest.raises(Exception, match="no part"):
+        read_chats(wrong).select("loss_text").collect()
+
+
+def test_ties_and_repeated_turns(spark):
+    rows = [(1, 1, "user", "b"), (1, 1, "user", "a"), (1, 1, "user", "a"), (1, 1, "assistant", "z")]
+    frame = lambda order: spark.createDataFrame(order, "conv_id int, turn int, role string, text string")
+    texts = {read_chats(format_chats(frame(order))).select(F.col("turns").cast("string")).first()[0] for order in (rows, rows[::-1])}
+    assert len(texts) == 1 and texts.pop().count("a}") == 2
+
+
 def brute_lines(rows, least):
     sites, first = {}, {}
     for d, t, s in rows:
@@ -53,6 +72,22 @@ def test_line_edges(spark):
     assert line_dedup(df.limit(0)).collect() == []
 
 
+def test_lines_of_repeated_rows_and_null_ids(spark):
+    many = "\n".join(f"line {k}" for k in range(3000))
+    rows = [(None, many, "a"), (1, many, "b"), (1, many, "b"), (1, "line 5\nown", "c"), (2, many, "d")]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), 3).collect()
+    kept = {(r.doc_id, len((r.text or "").split("\n")) if r.text else 0) for r in got}
+    assert len(got) == 5 and kept == {(None, 3000), (1, 0), (1, 1), (2, 0)}  # the first place, of the row without an id, stays
+
+
+def test_mixture_edges(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c", "s"), (None, "d e", "s"), (None, "f", None), (2, None, "s"), (3, "", "t")]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 6 and all(r.taken <= 2 * r.size for r in got) and len({r.taken for r in got if r.doc_id == 1}) == 1
+    with pytest.raises(ValueError, match="whole times"):
+        mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), most=1.5)
+
+
 def brute_mix(sizes, weights=(3, 1, 2)):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     w = {s: weights[i % 3] for i, s in enumerate(names)}

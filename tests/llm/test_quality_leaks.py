@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import HAS_SF
-from llm.decontaminate import GAP, MATCH, MISMATCH, align, decontaminate
-from llm.quality import Ordinal, fit_quality, graded, score_quality
+from sightline.llm.decontaminate import GAP, MATCH, MISMATCH, align, decontaminate
+from sightline.llm.quality import Ordinal, fit_quality, graded, score_quality
 
 BIG = "/root/testdata/sf0.1"
 
@@ -30,7 +30,7 @@ def test_leaks(spark):
     rng = random.Random(3)
     vocab = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 7))) for _ in range(900)]
     text = lambda k: [rng.choice(vocab) for _ in range(k)]
-    items = [(i, " ".join(text(30)).capitalize() + ".") for i in range(12)] + [(20, "too short"), (21, None), (22, "")]
+    items = [(i, " ".join(text(30)).capitalize() + ".") for i in range(12)] + [(20, "too short"), (21, None), (22, ""), (23, "qqa qqb qqc qqd")]
     rows, want = [], set()
     for d in range(120):
         w = text(rng.randrange(0, 400))
@@ -43,6 +43,8 @@ def test_leaks(spark):
             w[at:at] = copy
             want.add((d, i))
         rows.append((d, " ".join(w) if d != 7 else None))
+    rows += [(200, "too short"), (201, "this is too short a text"), (202, "x QQA qqb, qqc qqd y"), (203, "qqa qqb qqd")]
+    want |= {(200, 20), (202, 23)}  # short items count word for word
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x"))
     tests = spark.createDataFrame(items, "item_id long, text string")
     for block in (100, 5):
@@ -98,3 +100,43 @@ def test_leaks_with_every_fourth_word_replaced(spark):
     tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     for block in (100, 2):
         assert {(r.doc_id, r.item_id) for r in decontaminate(df, tests, block=block).collect()} == want
+
+
+def test_what_one_item_needs_does_not_depend_on_the_others(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    doc = spark.createDataFrame([(1, "alpha beta gamma x1 epsilon x2 eta x3")], "doc_id long, text string")
+    one = [(1, item)]
+    alone, beside = (decontaminate(doc, spark.createDataFrame(rows, "item_id long, text string"), score=0.3).collect() for rows in (one, [*one, (2, "too short"), (3, "one more")]))
+    assert alone == beside
+
+
+def test_recall_of_seeds(spark):
+    """Copies with edits at random against an alignment of every document with every item."""
+    rng = random.Random(9)
+    vocab = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(500)]
+    items = [(i, [rng.choice(vocab) for _ in range(rng.randrange(12, 50))]) for i in range(25)]
+    rows = []
+    for d in range(250):
+        i, words = items[d % 25]
+        copy = []
+        for w in words:
+            x, share = rng.random(), d / 250 * 0.4
+            copy += [] if x < share / 3 else [w, rng.choice(vocab)] if x < 2 * share / 3 else [rng.choice(vocab)] if x < share else [w]
+        rows.append((d, [rng.choice(vocab) for _ in range(rng.randrange(20))] + copy + [rng.choice(vocab) for _ in range(rng.randrange(20))]))
+    truth = {(d, i) for d, text in rows for i, words in items if plain(words, text) >= 0.6 * MATCH * len(words)}
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate(spark.createDataFrame([(d, " ".join(t)) for d, t in rows], "doc_id long, text string"), tests).collect()}
+    assert len(truth) > 100 and got <= truth and len(got) >= 0.9 * len(truth)
+
+
+def test_null_and_repeated_ids(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    rows = [(None, f"x {item} y"), (5, f"x {item} y"), (5, f"x {item} y"), (5, "nothing"), (6, None), (7, ""), (8, "clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit(0))
+    got = decontaminate(df, spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.item_id, r.score) for r in got) == [(-1, 1, 1.0), (-1, 2, 1.0), (5, 1, 1.0), (5, 2, 1.0)]
+    graded_ = spark.createDataFrame([(i, 2 * (i % 2)) for i in range(60)] * 2, "doc_id long, grade int")
+    docs = spark.createDataFrame([(i, f"good fine {i}" if i % 2 else f"bad ugly {i}") for i in range(60)] * 3 + [(None, "good fine")], "doc_id long, text string")
+    one, two = (fit_quality(docs.repartition(k), graded_.repartition(k + 1), sample=50) for k in (2, 7))
+    assert (one.index == two.index).all() and (one.weight == two.weight).all() and (one.cuts == two.cuts).all()
+    assert score_quality(docs, one).where("doc_id IS NULL").first().keep

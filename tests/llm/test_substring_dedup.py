@@ -3,8 +3,8 @@ import os
 
 import pytest
 
-from llm.queries import op1_substring_dedup
-from llm.substring_dedup import substring_dedup
+from sightline.llm.queries import op1_substring_dedup
+from sightline.llm.substring_dedup import MAX_BUCKETS, FingerprintIndex, substring_dedup
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,6 +44,31 @@ def test_empty_and_null_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup(df).collect()) == [(0, 20), (1, 0)]
 
 
+def test_an_index_goes_on_where_an_earlier_process_left_it(spark, tmp_path):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    frame = lambda rows: spark.createDataFrame(rows, "doc long, text string")
+    before, index = spark.conf.get(MAX_BUCKETS), FingerprintIndex(spark, path=f"file://{tmp_path}/index")
+    index.add(frame([(1, words(0, 40))]))
+    index.add(frame([(2, words(100, 140))]))
+    index.close()
+    assert spark.conf.get(MAX_BUCKETS) == before
+    for start in (10, 110):  # a run of either batch, and after the second time a compacted one
+        again = FingerprintIndex.open(spark, f"file://{tmp_path}/index")
+        assert len(again.runs) >= 1
+        docs = frame([(start + 1000, "new " + words(start, start + 20) + " end")])
+        name = again.add(docs)
+        got = again.clean(docs, [name]).collect()
+        again.compact()
+        again.close()
+        assert [(r.n_removed, r.kept) for r in got] == [(20, "new end")]
+
+
+def test_more_buckets_than_a_session_allows(spark):
+    index = FingerprintIndex(spark, total_bytes=100 << 40)
+    assert index.buckets > 100_000 and int(spark.conf.get(MAX_BUCKETS)) >= index.buckets
+    index.close()
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the generated tables")
 def test_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
