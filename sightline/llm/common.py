@@ -6,6 +6,7 @@ of a lost task gets the same values.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
 import numpy as np
@@ -23,8 +24,8 @@ NO_LETTER = ~np.array([chr(b).isalnum() or b > 127 for b in range(256)])
 NO_MARK = ~NO_LETTER | SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Text bytes hashed in one go; bounds a worker's memory (about 40 bytes for each).
-CHUNK_BYTES = 2 << 20
+#: Text bytes hashed in one go; bounds a worker's memory (about 150 bytes for each).
+CHUNK_BYTES = 1 << 19
 #: Ids that may be broadcast: at most this many 8-byte keys; beyond it joins shuffle.
 BROADCAST_KEYS = 200_000
 
@@ -37,6 +38,18 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 512):
+    """Fewer rows in the Arrow batches of what is run inside; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows if int(before) <= 0 else min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def power_of_two(x: float, least: int, most: int) -> int:
     n = least
     while n < x and n < most:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, runs_of, tidy, unpack, unpack_all
+from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, runs_of, small_batches, tidy, unpack, unpack_all
 
 #: Counters of the sketch, which grows with the corpus between these bounds; part size when it is summed.
 SKETCH, SKETCH_MOST, SKETCH_PART = 1 << 18, 1 << 22, 4096
@@ -349,4 +349,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, num: int = 80, den: int
     either text is linked with both.  Other columns are ignored; an empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return Join(rows, words, num, den, gather).run().withColumnRenamed("id", id_col)
+    with small_batches(docs.sparkSession):  # all that Python does is written inside
+        out = Join(rows, words, num, den, gather).run()
+    return out.withColumnRenamed("id", id_col)

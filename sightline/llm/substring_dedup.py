@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm.common import Scratch, Words, chunks, mix, pack, power_of_two, runs_of, tidy, unpack, unpack_all
+from sightline.llm.common import Scratch, Words, chunks, mix, pack, power_of_two, runs_of, small_batches, tidy, unpack, unpack_all
 
 #: Rows without an id come after all others.
 NO_ID = (1 << 63) - 1
@@ -192,7 +192,8 @@ class FingerprintIndex:
     def add(self, batch: DataFrame) -> int:
         """Merge ``batch(doc, text)`` with the runs; the number under which its marks are kept."""
         new = batch.mapInArrow(_hash_batch(self.words, self.buckets, self.shards), ROWS)
-        return self._log(new.groupBy("bucket").cogroup(self._runs().groupBy("bucket")).applyInArrow(_merge(self.shards), ROWS))
+        with small_batches(self.spark):
+            return self._log(new.groupBy("bucket").cogroup(self._runs().groupBy("bucket")).applyInArrow(_merge(self.shards), ROWS))
 
     def compact(self) -> None:
         """Merge all runs into one; fingerprints in several runs are kept once."""
