@@ -7,11 +7,12 @@ documents, so what very many documents share is not used to find partners.
 1. Equal sets become one class, the smallest id stands for it.
 2. Prefix tokens are dealt to buckets.  A token's sets in one size band and the next are a tile.
 3. Tiles are worked off in rounds, so that groups of copies need not be compared pair by pair: in the
-   first rounds a tile's leader (the smallest set, then ones drawn by hash) is paired with the sets
-   not joined to it yet, in the last one all that is still open; large tiles are cut into parts.  A
-   pair is looked at where its first shared token may be: so many of either set's tokens must be left
-   from there on.  Bit counts of hashed bitmaps bound the overlap from above; what passes is
-   intersected exactly, as sorted arrays.
+   first rounds a tile's leaders are paired with the sets not joined to them yet, in the last one all
+   that is still open; large tiles are cut into parts.  The first leader is the smallest set, later
+   ones have most links so far: copies edited each in its own way are often linked only through the
+   middle of their group.  A pair is looked at where its first shared token may be: so many of either
+   set's tokens must be left from there on.  Bit counts of hashed bitmaps bound the overlap from
+   above; what passes is intersected exactly, as sorted arrays.
 
 No pair that could be linked is left out: each is joined in some round or tested in the last one.
 """
@@ -36,6 +37,8 @@ TILE, GATHER = 1024, 1 << 15
 FLUSH = 1_000_000
 #: Rounds after the first leaders: the last one tests all that is left, the others only save it work.
 ROUNDS = 3
+#: Leaders of a tile in each of these rounds: a set may fit one and not be linked with it.
+LEADERS = 8
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -253,21 +256,31 @@ class Join:
         places = F.array(F.struct(band.alias("tile"), F.lit(True).alias("own")), F.struct((band - 1).alias("tile"), F.lit(False).alias("own")))
         return self.groups.select("tok", "d1", "n", "rest", F.explode(places).alias("t")).select("tok", "t.tile", "d1", "n", "rest", "t.own")
 
-    def open_rows(self, rows: DataFrame, joined: DataFrame) -> DataFrame:
-        """``rows`` with their ``component``, of the tiles whose sets are not all joined.
+    def open_rows(self, rows: DataFrame, joined: DataFrame, links: DataFrame, led: DataFrame | None) -> DataFrame:
+        """``rows`` with their ``component`` and ``links``, of the tiles whose sets are not all joined.
 
-        Sets whose rest is too small even for the smallest of their tile go: the token starts no link of theirs.
+        Links count for the choice of leaders: who is linked with most of those drawn before lies in
+        the middle of a group.  Sets that were leaders (``led``) come last.  Sets whose rest is too small even for the smallest of their tile go: the token starts no link of theirs.
         """
-        label = self.classes.select("d1", "rep").join(joined.toDF("rep", "component"), "rep", "left").select("d1", F.coalesce("component", "rep").alias("component"))
+        count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+        label = self.classes.select("d1", "rep").join(joined.toDF("rep", "component"), "rep", "left").join(count, "rep", "left")
+        label = label.select("d1", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+        if led is not None:
+            label = label.join(led.withColumn("led", F.lit(-1)), "d1", "left").select("d1", "component", F.coalesce("led", "links").cast("long").alias("links"))
         rows = rows.select("tok", "tile", "d1", "n", "rest", "own").join(label, "d1")
         some = rows.groupBy("tok", "tile").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("own").alias("some"), F.min("n").alias("least")).where("low < high AND some")
         return rows.join(some.select("tok", "tile", "least"), ["tok", "tile"]).where(f"{self.num} * (n + least) <= {self.num + self.den} * rest").drop("least")
 
-    def led(self, rows: DataFrame, turn: int) -> DataFrame:
-        """(a, b): in each tile a leader drawn by hash with all that are not joined to it and fit in size."""
-        lead = rows.where("own").groupBy("tok", "tile").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "d1").alias("h"), "d1", "n", "rest", "component")).alias("lead"))
+    def leads(self, rows: DataFrame, turn: int) -> DataFrame:
+        """(tok, tile, leads): some leaders of each tile: the sets with most links, then by hash."""
+        first = lambda k: F.min(F.struct(F.shiftright(-F.col("links"), k).alias("l"), F.xxhash64(F.lit(turn * LEADERS + k), "d1").alias("h"), "d1", "n", "rest", "component"))
+        return rows.where("own").groupBy("tok", "tile").agg(F.array_distinct(F.array(*(first(k).dropFields("l", "h") for k in range(LEADERS)))).alias("leads"))
+
+    def led(self, rows: DataFrame, leads: DataFrame) -> DataFrame:
+        """(a, b): in each tile its leaders with all that are not joined to them and fit in size."""
         fits = f"component <> lead.component AND {self.den} * least(n, lead.n) >= {self.num} * greatest(n, lead.n) AND {self.num} * (n + lead.n) <= {self.num + self.den} * least(rest, lead.rest)"
-        return rows.join(lead, ["tok", "tile"]).where(fits).select(F.least("d1", "lead.d1").alias("a"), F.greatest("d1", "lead.d1").alias("b")).distinct()
+        pairs = rows.join(leads, ["tok", "tile"]).select("d1", "n", "rest", "component", F.explode("leads").alias("lead")).where(fits)
+        return pairs.select(F.least("d1", "lead.d1").alias("a"), F.greatest("d1", "lead.d1").alias("b")).distinct()
 
     def tiles(self, rows: DataFrame) -> DataFrame:
         """(a, b): pairs of digests of ``open_rows`` that pass the bound and are not joined."""
@@ -317,13 +330,20 @@ class Join:
         ties = own.join(several, "id").join(self.classes.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
         links = self.exact(self.bounded(self.pairs), "leaders").unionAll(self.scratch.put(ties, "ties"))
         joined = self.scratch.put(components(self.scratch, links, "cc"), "joined-0")
-        rows = self.placed()
+        rows, were = self.placed(), None
         for turn in range(1, ROUNDS + 1):
-            rows = self.scratch.put(self.open_rows(rows, joined), f"open-{turn}")
+            rows = self.scratch.put(self.open_rows(rows, joined, links, were), f"open-{turn}")
             if turn > 1:
                 self.scratch.drop(f"open-{turn - 1}")
             last = turn == ROUNDS or rows.isEmpty()
-            more = self.exact(self.tiles(rows) if last else self.bounded(self.led(rows, turn)), f"round-{turn}")
+            if last:
+                more = self.tiles(rows)
+            else:
+                leads = self.scratch.put(self.leads(rows, turn), f"leads-{turn}")
+                new = leads.select(F.explode("leads.d1").alias("d1")).distinct()
+                were = new if were is None else were.unionAll(new).distinct()
+                more = self.bounded(self.led(rows, leads))
+            more = self.exact(more, f"round-{turn}")
             links = links.unionAll(more)
             if not more.isEmpty():
                 joined = self.scratch.put(components(self.scratch, links, "cc"), f"joined-{turn}")
