@@ -28,6 +28,8 @@ LOWER[65:91] += 32
 CHUNK_BYTES = 1 << 19
 #: Ids that may be broadcast: at most this many 8-byte keys; beyond it joins shuffle.
 BROADCAST_KEYS = 200_000
+#: Narrow rows (a few numbers each) in a file of a small intermediate table, at most.
+FILE_ROWS = 1 << 18
 
 
 def tidy(spark: SparkSession) -> None:
@@ -50,6 +52,16 @@ def small_batches(spark: SparkSession, rows: int = 512):
         spark.conf.set(key, before)
 
 
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, known to hold at most ``rows`` narrow rows, in as many files as that takes.
+
+    What a shuffle dealt to many tasks is a crowd of tiny files else, each made, renamed and opened by
+    itself.  From as many files as the shuffle has tasks on nothing is changed.
+    """
+    files = max(1, -(-rows // FILE_ROWS))
+    return df if files >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(files)
+
+
 def power_of_two(x: float, least: int, most: int) -> int:
     n = least
     while n < x and n < most:
@@ -272,6 +284,7 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
     spark = scratch.spark
     edges = links.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct()
     edges, k, before = scratch.put(edges, f"{name}-0"), 0, None
+    count = edges.count()
     while True:
         both = edges.unionAll(edges.selectExpr("v AS u", "u AS v"))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
@@ -279,10 +292,10 @@ def components(scratch: Scratch, links: DataFrame, name: str = "cc") -> DataFram
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         k += 1
-        new = scratch.put(small, f"{name}-{k}")
+        new = scratch.put(in_files(small, 2 * count), f"{name}-{k}")  # an edge makes two at most
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")
-        edges = new
+        edges, count = new, state[0]
         if state == before:
             break
         before = state

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, mix, pack, power_of_two, runs_of, small_batches, tidy, unpack, unpack_all
+from sightline.llm.common import BROADCAST_KEYS, Scratch, Words, chunks, components, in_files, mix, pack, power_of_two, runs_of, small_batches, tidy, unpack, unpack_all
 
 #: Counters of the sketch, which grows with the corpus between these bounds; part size when it is summed.
 SKETCH, SKETCH_MOST, SKETCH_PART = 1 << 18, 1 << 22, 4096
@@ -220,8 +220,9 @@ class Join:
     def exact(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b): representatives of those pairs of digests whose sets are linked, by exact intersection."""
         n, num, den, pairs = self.n, self.num, self.den, self.scratch.put(pairs.distinct(), f"{name}-bounded")
+        count = pairs.count()
         ids = pairs.select(F.explode(F.array("a", "b")).alias("d1")).distinct().join(self.classes.select("rep", "d1", "d2"), "d1")
-        ids = self.scratch.put(ids, f"{name}-ids")
+        ids = self.scratch.put(in_files(ids, 2 * count), f"{name}-ids")
         docs = self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, F.expr("id = rep")).select("rep", "text", "d1", "d2")
 
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +246,7 @@ class Join:
 
         sets = self.scratch.put(docs.mapInArrow(read, "d1 long, rep long, tokens array<long>").dropDuplicates(["d1"]), f"{name}-sets")
         both = pairs.join(sets.toDF("a", "rep_a", "x"), "a").join(sets.toDF("b", "rep_b", "y"), "b").select("rep_a", "rep_b", "x", "y")
-        linked = self.scratch.put(both.mapInArrow(common, "a long, b long"), f"{name}-links")
+        linked = self.scratch.put(in_files(both.mapInArrow(common, "a long, b long"), count), f"{name}-links")
         self.scratch.drop(f"{name}-sets", f"{name}-ids", f"{name}-bounded")
         tidy(self.spark)
         return linked
